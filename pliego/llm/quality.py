@@ -25,8 +25,8 @@ GROWTH = 1.02
 LEAST = 200
 #: Of each measure: the upper fence is at least this much; below it nothing is rejected.
 FLOORS = {"symbols_per_word": 0.25, "dup_line_share": 0.5, "chars_per_word": 12.0}
-#: Fences lie this many times the distance from the median to the 10 or 90 per cent quantile beyond it.
-REACH = 4.0
+#: Fences lie this many times the distance from the median to the lower or upper quartile beyond it.
+REACH = 8.0
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -106,13 +106,13 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """The 10, 50 and 90 per cent quantiles of the sketches merged by `by`: (*by, rate, docs, q10, q50, q90)."""
+    """The quartiles of the sketches merged by `by`: (*by, rate, docs, q25, q50, q75)."""
     merged = sketch.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "rate")
     value = F.when(F.col("bucket") == -(2**31), 0.0).otherwise(2 * F.pow(F.lit(GROWTH), F.col("bucket")) / (1 + GROWTH))
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group)).withColumn("value", value)
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("docs") * q, F.col("value")))
-    return ranked.groupBy(*by, "rate").agg(F.first("docs").alias("docs"), at(0.1).alias("q10"), at(0.5).alias("q50"), at(0.9).alias("q90"))
+    return ranked.groupBy(*by, "rate").agg(F.first("docs").alias("docs"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def fences(sketch: DataFrame) -> DataFrame:
     own, lang, all_ = (quantiles(sketch, by).alias(name) for name, by in (("own", ["lang", "source"]), ("wide", ["lang"]), ("all", [])))
     joined = own.join(lang, F.col("own.lang").eqNullSafe(F.col("wide.lang")) & (F.col("own.rate") == F.col("wide.rate"))).join(all_, F.col("own.rate") == F.col("all.rate"))
     pick = lambda q: F.when(F.col("own.docs") >= LEAST, F.col(f"own.{q}")).when(F.col("wide.docs") >= LEAST, F.col(f"wide.{q}")).otherwise(F.col(f"all.{q}"))
-    low, mid, high = pick("q10"), pick("q50"), pick("q90")
+    low, mid, high = pick("q25"), pick("q50"), pick("q75")
     floor = F.element_at(F.create_map(*[x for k, v in FLOORS.items() for x in (F.lit(k), F.lit(v))]), F.col("own.rate"))
     under = F.when(F.col("own.rate") == "chars_per_word", F.least(mid - REACH * (mid - low), mid / 2)).otherwise(F.lit(-1.0))
     return joined.select(F.col("own.lang").alias("lang"), F.col("own.source").alias("source"), F.col("own.rate").alias("rate"), under.alias("low"), F.greatest(floor, mid + REACH * (high - mid)).alias("high")).groupBy("lang", "source").agg(

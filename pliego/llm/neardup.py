@@ -284,8 +284,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     kept says whether it is the row's own. Null, empty and wordless texts are linked with nothing.
     Rows that share a doc_id are compared like others, so copies with one doc_id are all kept or none is.
     """
-    sketched = cut(sketch(docs, width))
-    rows = sketched.drop("sketch")
+    sketched = sketch(docs, width)
+    rows = cut(sketched.drop("sketch"))
     classes = cut(sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     groups = components(link(docs, classes, width, percent))
     named = classes.select("key", "doc_id").join(groups.withColumnRenamed("node", "key"), "key")

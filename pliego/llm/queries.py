@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pliego.llm import bpe, chat, mixing, neardup, quality, toxicity
+from pliego.llm import bpe, chat, covertree, mixing, neardup, quality, toxicity
 from pliego.llm.common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -96,6 +96,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=85)
 
 
+def op8_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -106,5 +110,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applied.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_byte_bpe, op4_near_duplicates, op9_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_byte_bpe, op4_near_duplicates, op8_embedding_near_duplicates, op9_toxicity, op10_quality_rules)}
 ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op2_mixing": OP2_SQL}

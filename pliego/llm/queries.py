@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pliego.llm import bpe, chat, covertree, mixing, neardup, quality, toxicity
+from pliego.llm import bpe, chat, covertree, mixing, neardup, quality, substring, toxicity
 from pliego.llm.common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -96,6 +96,31 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=85)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"), width=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+with d as (
+  select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents
+), g as (
+  select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) h from (select doc_id, w, unnest(range(1, len(w) - 48)) i from d)
+), m as (
+  select h, min(doc_id) first from g group by h
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 50)) i from g join m using (h) where first < doc_id
+), n as (
+  select doc_id, count(*) n_removed from gone group by doc_id
+), kept as (
+  select t.doc_id, string_agg(t.x, ' ' order by t.i) text
+  from (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) i from d) t anti join gone on t.doc_id = gone.doc_id and t.i = gone.i group by t.doc_id
+)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(kept.text, '')) kept_sha256
+from d left join n using (doc_id) left join kept using (doc_id)
+"""
+
+
 def op8_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -110,5 +135,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applied.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_byte_bpe, op4_near_duplicates, op8_embedding_near_duplicates, op9_toxicity, op10_quality_rules)}
-ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op2_mixing": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_byte_bpe, op4_near_duplicates, op6_substring_dedup, op8_embedding_near_duplicates, op9_toxicity, op10_quality_rules)}
+ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op2_mixing": OP2_SQL, "op6_substring_dedup": OP6_SQL}

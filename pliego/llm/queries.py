@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pliego.llm import bpe, chat, covertree, mixing, neardup, quality, substring, toxicity
+from pliego.llm import bpe, chat, covertree, lines, mixing, neardup, quality, substring, toxicity
 from pliego.llm.common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -121,6 +121,12 @@ from d left join n using (doc_id) left join kept using (doc_id)
 """
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed (lines with a word) and the hash of the text that is left."""
+    found = lines.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=80, least=5)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -135,5 +141,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applied.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_byte_bpe, op4_near_duplicates, op6_substring_dedup, op8_embedding_near_duplicates, op9_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_byte_bpe, op4_near_duplicates, op6_substring_dedup, op7_line_dedup, op8_embedding_near_duplicates, op9_toxicity, op10_quality_rules)}
 ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op2_mixing": OP2_SQL, "op6_substring_dedup": OP6_SQL}

@@ -17,14 +17,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, or where it is unset (in tests) a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="pliego-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is made only where that is unset (tests).
-    """
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The same rows, written to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     spark = frame.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pliego-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pliego.llm import bpe, chat, covertree, lines, mixing, neardup, quality, substring, toxicity
+from pliego.llm import bpe, chat, counts, covertree, lines, mixing, neardup, quality, substring, toxicity
 from pliego.llm.common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -96,6 +96,15 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=85)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with three edits: words put in near a third of the text, a stretch in the middle deleted, and one near its end replaced."""
+    data, pattern = ranks()
+    size = F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    edits = [(size / 3, 0, " edited twice, "), (size / 2, 23, ""), (size - size / 10, 11, "don't stop")]
+    made = F.array(*[F.struct(at.cast("int").alias("start"), F.lit(n).alias("length"), F.lit(x).alias("insert")) for at, n, x in edits])
+    return counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text", made.alias("edits")), data, pattern)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(table(spark, sf_dir, "documents"), width=50)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -141,5 +150,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applied.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_byte_bpe, op4_near_duplicates, op6_substring_dedup, op7_line_dedup, op8_embedding_near_duplicates, op9_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_byte_bpe, op4_near_duplicates, op5_token_counts, op6_substring_dedup, op7_line_dedup, op8_embedding_near_duplicates, op9_toxicity, op10_quality_rules)}
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
 ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op2_mixing": OP2_SQL, "op6_substring_dedup": OP6_SQL}

@@ -174,3 +174,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs` that aren't toxic, with all their columns. Null and empty texts stay if an empty bag does."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, most=500_000):
+            clean = shared.value.score(batch.column("text")) < THRESHOLD
+            yield batch.select(["row"]).filter(pa.array(clean))
+
+    return packed.mapInArrow(work, packed.select("row").schema).select("row.*")

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from pliego.llm import words as W
 from pliego.llm.common import components, cut
+from pliego.llm.tables import fixed_table, narrowed
 
-SKETCH, BLOCK, TABLE_BITS, SLICES = 64, 1024, 16, 16
+SKETCH, BLOCK, TABLE_BITS = 64, 1024, 16
 #: Values listed for each class, before those for crowded values.
 LISTED = 12
 #: Share of the sketch that similar sets have in common: six standard deviations below 0.85.
@@ -91,21 +92,10 @@ def _buckets(values: np.ndarray) -> np.ndarray:
 def crowding(classes: DataFrame) -> np.ndarray:
     """How many retained values fall into each of 2^16 buckets: half a megabyte, whatever the input."""
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(2**TABLE_BITS, np.int64)
-        for batch in batches:
-            table += np.bincount(_buckets(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64)), minlength=len(table))
-        if table.any():
-            parts = [part.tobytes() for part in np.split(table, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
-
-    def add(batch: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(b, np.int64) for b in batch.column("counts").to_pylist()], axis=0)
-        return pa.table({"slice": pa.array([batch.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def fill(batch: pa.RecordBatch, table: np.ndarray) -> None:
+        table += np.bincount(_buckets(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64)), minlength=len(table))
 
-    schema = "slice int, counts binary"
-    rows = classes.select("sketch").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()
-    return np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(rows)]) if rows else np.zeros(2**TABLE_BITS, np.int64)
+    return fixed_table(classes.select("sketch"), fill, 2**TABLE_BITS, "<i8", lambda parts: np.sum(parts, axis=0))
 
 
 def listed(values: np.ndarray, total: int, level: np.ndarray, percent: int) -> np.ndarray:
@@ -226,7 +216,7 @@ def link(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataF
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
     dealt = members.withColumn("own", own).select("list", "key", "own", F.explode(pairs).alias("pair"))
-    needed = members.select("key").distinct().join(classes.select("key", "doc_id"), "key").select("doc_id").distinct()
+    needed = cut(members.select("key").distinct().join(classes.select("key", "doc_id"), "key").select("doc_id").where("doc_id is not null").distinct())
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):
@@ -234,7 +224,8 @@ def link(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataF
             sets = pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer((places * 8).astype(np.int32)), pa.py_buffer(found.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(W.signed(class_keys(found, places))), sets], names=["key", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(needed, "doc_id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    texts = narrowed(rows, needed).join(needed, "doc_id", "left_semi")
     sets = texts.mapInArrow(make, "key long, shingles binary")
     rows = dealt.join(sets, "key").repartition("list", "pair").sortWithinPartitions("list", "pair", "key").select("list", "pair.i", "pair.j", "own", "key", "shingles")
 

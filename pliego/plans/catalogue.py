@@ -1,4 +1,6 @@
 """Every query of the library by name, with the SQL that it must agree with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pliego.plans import choices, periods, resolving, texts  # noqa: F401
+from pliego.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

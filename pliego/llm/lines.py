@@ -4,7 +4,7 @@ A line's set is its distinct words (A-Z as a-z). Words are put in order of rarit
 size that counts all words by hash bucket. Two sets with similarity t share a word among the first
 n - ceil(t * n) + 1 of each, so lines meet in the lists of those words only. In a list, pairs must pass
 the length filter, the positional filter (words left after the shared one must suffice) and a bound by
-64-bit parities of the sets; then Jaccard is verified on full sets. Lines with equal sets form a class,
+128-bit parities of the sets; then Jaccard is verified on full sets. Lines with equal sets form a class,
 of which only one enters a list.
 
 A line needs just one earlier match to go. So a list gives each line its `NEAREST` candidates by parity;
@@ -13,7 +13,7 @@ only lines for which none of them is verified, and which had more, get all the o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,29 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pliego.llm import words as W
-from pliego.llm.common import cut
+from pliego.llm.common import cut, written
+from pliego.llm.tables import fixed_table, narrowed
 
-BUCKET_BITS, SLICES, NEAREST = 16, 16, 16
-#: Bits of the filter that tells apart documents with candidate lines; its size doesn't depend on the input.
-FILTER_BITS = 24
-
-
-def fixed_table(frame: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], None], size: int, kind: str, merge: Callable) -> np.ndarray:
-    """A table of fixed size, filled in each task and merged slice by slice."""
-
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size, kind)
-        for batch in batches:
-            fill(batch, table)
-        if table.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in np.split(table, SLICES)], pa.binary())], names=["slice", "part"])
-
-    def join(parts: pa.Table) -> pa.Table:
-        total = merge([np.frombuffer(b, kind) for b in parts.column("part").to_pylist()])
-        return pa.table({"slice": pa.array([parts.column("slice")[0].as_py()], pa.int32()), "part": pa.array([total.astype(kind).tobytes()], pa.binary())})
-
-    rows = frame.mapInArrow(each, "slice int, part binary").groupBy("slice").applyInArrow(join, "slice int, part binary").collect()
-    return np.concatenate([np.frombuffer(r.part, kind) for r in sorted(rows)]) if rows else np.zeros(size, kind)
+BUCKET_BITS, NEAREST = 16, 16
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -93,9 +74,12 @@ class Lines:
             pairs = np.stack([head, head + size], 1).ravel()
             padded = np.append(hashed, np.uint64(0))
             self.key = W.mix(np.add.reduceat(W.mix(padded), pairs)[::2] + size.astype(np.uint64))
-            self.parity = np.bitwise_xor.reduceat(np.uint64(1) << (W.mix(padded) >> np.uint64(58)), pairs)[::2]
+            bit = W.mix(padded)
+            one, high = np.uint64(1) << (bit >> np.uint64(58)), (bit >> np.uint64(57)) & np.uint64(1) == 1
+            self.parity = [np.bitwise_xor.reduceat(np.where(half, one, np.uint64(0)), pairs)[::2] for half in (high, ~high)]
         else:
-            self.key = self.parity = np.zeros(0, np.uint64)
+            self.key = np.zeros(0, np.uint64)
+            self.parity = [self.key, self.key]
 
     def words(self, chosen: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The first `counts` words of chosen lines: the places in `chosen`, the places in the line, the words."""
@@ -104,48 +88,36 @@ class Lines:
         return own, at, self.hashed[self.head[chosen][own] + at]
 
 
-def occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, line, class) of every line that is compared."""
+LINE = "doc_id long, line int, class long, n int, parity long, parity2 long, words array<int>"
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches):
-            x = Lines(batch.column("text"), least, None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(x.row)), pa.array(x.line, pa.int32()), pa.array(W.signed(x.key))], names=["doc_id", "line", "class"])
-
-    return docs.mapInArrow(work, "doc_id long, line int, class long")
 
+def compared(docs: DataFrame, level: np.ndarray, least: int, percent: int) -> DataFrame:
+    """Every line that is compared, with the words that it is listed under, rarest first.
 
-ENTRY = "word int, doc_id long, line int, class long, n int, at int, parity long"
-
-
-def entries(docs: DataFrame, level: np.ndarray, least: int, percent: int) -> DataFrame:
-    """Lines under each of their first words; of the lines with one set in a piece of a batch, the earliest."""
+    Of the lines with one set in a piece of a batch only the earliest has words.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, most=4_000_000):
             x = Lines(batch.column("text"), least, shared.value)
-            if not len(x.key):
-                continue
             doc = batch.column("doc_id").to_numpy()[x.row]
             order = np.lexsort((x.line, doc, x.key))
-            chosen = order[np.concatenate([[True], x.key[order][1:] != x.key[order][:-1]])]
-            n = x.size[chosen]
-            own, at, word = x.words(chosen, n - -(-percent * n // 100) + 1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((word & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)),
-                    pa.array(doc[chosen][own]),
-                    pa.array(x.line[chosen][own], pa.int32()),
-                    pa.array(W.signed(x.key[chosen])[own]),
-                    pa.array(n[own], pa.int32()),
-                    pa.array(at, pa.int32()),
-                    pa.array(W.signed(x.parity[chosen])[own]),
-                ],
-                names=[c.split()[0] for c in ENTRY.split(", ")],
-            )
-
-    return docs.mapInArrow(work, ENTRY)
+            first = np.zeros(len(order), bool)
+            first[order] = np.concatenate([[True], x.key[order][1:] != x.key[order][:-1]]) if len(order) else False
+            counts = np.where(first, x.size - -(-percent * x.size // 100) + 1, 0)
+            _, _, word = x.words(np.arange(len(x.key)), counts)
+            word = (word & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(word))
+            columns = [pa.array(doc), pa.array(x.line, pa.int32()), pa.array(W.signed(x.key)), pa.array(x.size, pa.int32()), *(pa.array(W.signed(p)) for p in x.parity), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "class", "n", "parity", "parity2", "words"])
+
+    return docs.mapInArrow(work, LINE)
+
+
+def entries(lines: DataFrame) -> DataFrame:
+    """Lines under each of their words, with the word's place."""
+    return lines.select(F.posexplode("words").alias("at", "word"), "doc_id", "line", "class", "n", "parity", "parity2")
 
 
 CANDIDATE = "later long, earlier long, more boolean"
@@ -155,20 +127,20 @@ def candidates(listed: DataFrame, percent: int, nearest: int | None) -> DataFram
     """Pairs of classes that pass the filters: for each line of a list the `nearest` earlier ones (None: all)."""
     ordered = listed.repartition("word").sortWithinPartitions("word", "doc_id", "line", "class")
 
-    def passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, parity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, parity: np.ndarray, parity2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = n[i], n[j]
         need = -(-percent * (a + b) // (100 + percent))
         ok = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (1 + np.minimum(a - at[i], b - at[j]) - 1 >= need)
-        apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64)
+        apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64) + np.bitwise_count(parity2[i] ^ parity2[j])
         return ok & (apart <= a + b - 2 * need), apart
 
-    def one_piece(word, cls, n, at, parity) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def one_piece(word, cls, n, at, parity, parity2) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         # of equal sets in a list the earliest stays
         order = np.lexsort((np.arange(len(word)), cls, word))
         again = np.concatenate([[False], (word[order][1:] == word[order][:-1]) & (cls[order][1:] == cls[order][:-1])])
         keep = np.ones(len(word), bool)
         keep[order[again]] = False
-        word, cls, n, at, parity = (x[keep] for x in (word, cls, n, at, parity))
+        word, cls, n, at, parity, parity2 = (x[keep] for x in (word, cls, n, at, parity, parity2))
         head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         size = np.diff(np.append(head, len(word)))
         run = np.repeat(size, size)
@@ -180,7 +152,7 @@ def candidates(listed: DataFrame, percent: int, nearest: int | None) -> DataFram
             i, j = i[same], j[same]
             if not len(i):
                 break
-            ok, _ = passing(i, j, n, at, parity)
+            ok, _ = passing(i, j, n, at, parity, parity2)
             yield cls[j[ok]], cls[i[ok]], np.zeros(int(ok.sum()), bool)
         for h, s in zip(head.tolist(), size.tolist(), strict=True):
             if s > 1 and not short[h]:
@@ -190,7 +162,7 @@ def candidates(listed: DataFrame, percent: int, nearest: int | None) -> DataFram
                     jj, ii = np.repeat(j, len(i)), np.tile(i, len(j))
                     before = ii < jj
                     jj, ii = jj[before], ii[before]
-                    ok, apart = passing(ii, jj, n, at, parity)
+                    ok, apart = passing(ii, jj, n, at, parity, parity2)
                     ii, jj, apart = ii[ok], jj[ok], apart[ok]
                     if nearest is None:
                         yield cls[jj], cls[ii], np.zeros(len(ii), bool)
@@ -203,12 +175,12 @@ def candidates(listed: DataFrame, percent: int, nearest: int | None) -> DataFram
                     yield cls[jj[close]], cls[ii[close]], more[close]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("word", "class", "n", "at", "parity")
+        names = ("word", "class", "n", "at", "parity", "parity2")
         rest = None
 
         def made(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             columns[2], columns[3] = columns[2].astype(np.int64), columns[3].astype(np.int64)
-            columns[4] = columns[4].view(np.uint64)
+            columns[4], columns[5] = columns[4].view(np.uint64), columns[5].view(np.uint64)
             for later, earlier, more in one_piece(*columns):
                 if len(later):
                     yield pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier), pa.array(more)], names=["later", "earlier", "more"])
@@ -229,27 +201,6 @@ def candidates(listed: DataFrame, percent: int, nearest: int | None) -> DataFram
     return ordered.mapInArrow(work, CANDIDATE).groupBy("later", "earlier").agg(F.max("more").alias("more"))
 
 
-def narrowed(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """`docs` without most of those that `needed` (doc_id) doesn't hold: a filter of fixed size, before any shuffle."""
-
-    def places(ids: np.ndarray) -> np.ndarray:
-        return (W.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-    def fill(batch: pa.RecordBatch, table: np.ndarray) -> None:
-        at = places(batch.column("doc_id").to_numpy())
-        np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-    table = fixed_table(needed.select("doc_id"), fill, 2 ** (FILTER_BITS - 3), "u1", lambda parts: np.bitwise_or.reduce(parts))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = places(batch.column("doc_id").to_numpy())
-            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-
-    return docs.mapInArrow(work, docs.schema)
-
-
 def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, least: int, percent: int) -> DataFrame:
     """Classes whose first line has an earlier match: (class)."""
     needed = pairs.select(F.explode(F.array("later", "earlier")).alias("class")).distinct().join(firsts, "class").select("doc_id", "class")
@@ -288,20 +239,20 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     `docs`: (doc_id, text) without nulls in doc_id. Lines begin at 0. Where rows share a doc_id, lines of
     one number are at the same place: of different sets the one with the smaller hash counts as earlier.
     """
-    seen = cut(occurrences(docs, least))
+    seen = written(compared(docs, rarity(docs), least, percent))
     firsts = cut(seen.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("m")).select("class", "m.*"))
-    listed = entries(docs, rarity(docs), least, percent)
+    listed = entries(seen)
     pairs = cut(candidates(listed, percent, NEAREST))
     gone = verified(docs, pairs, firsts, least, percent)
     open_ = pairs.where("more").select(F.col("later").alias("class")).distinct().join(gone, "class", "left_anti")
     open_ = cut(open_)
     if open_.limit(1).count():
-        words = listed.join(open_, "class", "left_semi").select("word").distinct()
+        words = cut(listed.join(open_, "class", "left_semi").select("word").distinct())
         rest = candidates(listed.join(words, "word", "left_semi"), percent, None)
         rest = cut(rest.join(open_.withColumnRenamed("class", "later"), "later").join(pairs, ["later", "earlier"], "left_anti"))
         gone = gone.unionByName(verified(docs, rest, firsts, least, percent)).distinct()
     marks = firsts.join(gone.withColumn("gone", F.lit(True)), "class", "left").select("class", F.col("doc_id").alias("d"), F.col("line").alias("l"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    joined = seen.join(marks, "class")
+    joined = seen.select("doc_id", "line", "class").join(marks, "class")
     return joined.where(F.col("gone") | (F.col("doc_id") != F.col("d")) | (F.col("line") != F.col("l"))).select("doc_id", "line", "class")
 
 

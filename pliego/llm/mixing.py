@@ -67,8 +67,8 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
         state = state.drop("edge").join(first, "key", "left").select(
             "key", "copies", (F.col("budget") - spent).alias("budget"), F.coalesce("at.bucket", F.lit(-1).cast("long")).alias("edge"), F.coalesce("at.words", F.lit(0)).alias("words")
         )
-        if look < LOOKS:
-            state = state.drop("words")
+        # a row per source: written, so that the plan doesn't grow with each look
+        state = cut(state.drop("words") if look < LOOKS else state)
     below = F.col("edge") + F.when(F.col("budget") * 2 > F.col("words"), 1).otherwise(0)
     return state.select("key", "copies", F.when(F.col("edge") < 0, 0).otherwise(below).cast("long").alias("below"))
 

@@ -31,7 +31,7 @@ def pack(ids: list[int]) -> bytes:
 
 
 #: Entries after which a worker's memo starts anew.
-MEMO = 400_000
+MEMO = 150_000
 
 
 class Codec:
@@ -144,7 +144,7 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
         memo = self.memo
-        if len(memo) > MEMO or len(self.fits) > 4 * MEMO:
+        if len(memo) > MEMO or len(self.fits) > 2 * MEMO:
             memo.clear()
             self.fits.clear()
         out = []

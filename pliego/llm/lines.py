@@ -99,7 +99,7 @@ def compared(docs: DataFrame, level: np.ndarray, least: int, percent: int) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches, most=4_000_000):
+        for batch in W.slices(batches, most=2_000_000):
             x = Lines(batch.column("text"), least, shared.value)
             doc = batch.column("doc_id").to_numpy()[x.row]
             order = np.lexsort((x.line, doc, x.key))
@@ -221,7 +221,7 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, least: int, p
     joined = pairs.join(sets.select(F.col("class").alias("later"), F.col("words").alias("a")), "later").join(sets.select(F.col("class").alias("earlier"), F.col("words").alias("b")), "earlier")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.slices(batches, "a", 4_000_000):
             hits = []
             for later, a, b in zip(*(batch.column(c).to_pylist() for c in ("later", "a", "b")), strict=True):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)

@@ -252,7 +252,7 @@ def link(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataF
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
+        for batch in W.slices(batches, "shingles", 8_000_000):
             columns = [batch.column(c).to_pylist() for c in ("list", "i", "j", "own", "key", "shingles")]
             for name, i, j, own, key, packed in zip(*columns, strict=True):
                 if (name, i, j) != now:

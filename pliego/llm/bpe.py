@@ -31,7 +31,7 @@ def pack(ids: list[int]) -> bytes:
 
 
 #: Entries after which a worker's memo starts anew.
-MEMO = 150_000
+MEMO = 100_000
 
 
 class Codec:
@@ -164,10 +164,6 @@ class Codec:
             packed = self.memo[piece] = pack(self.encode_piece(piece.encode("utf-8")))
         return len(packed) // 4
 
-    def decode(self, packed: bytes) -> bytes:
-        """The bytes of ids as `encode` packs them."""
-        return b"".join(map(self.texts.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     """Ranks from a file of lines of a base64 byte string and its rank."""
@@ -186,6 +182,23 @@ def codec(data: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+_TEXTS: dict[int, dict[int, bytes]] = {}
+
+
+def token_texts(data: bytes) -> dict[int, bytes]:
+    """A worker's byte strings of all ids: all that decoding needs."""
+    key = hash(data)
+    if key not in _TEXTS:
+        _TEXTS.clear()
+        _TEXTS[key] = {i: b for b, i in parse_ranks(data).items()}
+    return _TEXTS[key]
+
+
+def decode_ids(packed: bytes, texts: dict[int, bytes]) -> bytes:
+    """The bytes of ids as `Codec.encode` packs them."""
+    return b"".join(map(texts.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+
 def _with_column(frame: DataFrame, name: str, column: str, convert) -> DataFrame:
     """The frame with one binary column more (or in place of one of that name), made row by row from another."""
     rest = [c for c in frame.columns if c != name]
@@ -217,12 +230,12 @@ def encode(frame: DataFrame, ranks: bytes, pattern: str, text: str = "text", out
     return _with_column(frame, out, text, convert)
 
 
-def decode(frame: DataFrame, ranks: bytes, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+def decode(frame: DataFrame, ranks: bytes, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that ids from `encode` stand for. Null ids give no bytes; an unknown id is an error."""
     shared = frame.sparkSession.sparkContext.broadcast(ranks)
 
     def convert(rows: list[bytes | None]) -> list[bytes]:
-        own = codec(shared.value, pattern)
-        return [own.decode(r) if r else b"" for r in rows]
+        texts = token_texts(shared.value)
+        return [decode_ids(r, texts) if r else b"" for r in rows]
 
     return _with_column(frame, out, ids, convert)

@@ -42,7 +42,7 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float)
     left = F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum(full).over(before), F.lit(0.0))
     rest = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     ranked = weighed.withColumn("level", left / rest).withColumn("capped", F.col("level") * F.col("weight") >= full)
-    level = F.min(F.when(~F.col("capped"), F.col("level"))).over(everything)
+    level = F.max(F.when(~F.col("capped"), F.col("level"))).over(everything)  # the first that isn't capped
     return ranked.withColumn("target", F.when(F.col("capped"), full).otherwise(level * F.col("weight"))).select("source", "source_size", "target")
 
 

@@ -71,7 +71,7 @@ with d as (
 ), c as (
   select *, lvl * weight >= 2.0 * source_size capped from r
 ), g as (
-  select source, source_size, case when capped then 2.0 * source_size else min(lvl) filter (where not capped) over () * weight end target from c
+  select source, source_size, case when capped then 2.0 * source_size else max(lvl) filter (where not capped) over () * weight end target from c
 ), p as (
   select g.*, case when source_size > 0 then floor(target / source_size)::bigint else 0 end copies from g
 ), h as (
@@ -88,7 +88,7 @@ from h
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     data, pattern = ranks()
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string"))
-    both = bpe.decode(bpe.encode(docs, data, pattern).drop("text"), data, pattern)
+    both = bpe.decode(bpe.encode(docs, data, pattern).drop("text"), data)
     return both.select("doc_id", F.expr("cast(octet_length(token_ids) div 4 as long)").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

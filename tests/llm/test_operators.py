@@ -44,7 +44,7 @@ def test_bpe_equals_tiktoken(spark, docs, empty):
     tiktoken = pytest.importorskip("tiktoken")
     data, pattern = ranks()
     plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.parse_ranks(data), special_tokens={})
-    out = bpe.decode(bpe.encode(docs, data, pattern), data, pattern)
+    out = bpe.decode(bpe.encode(docs, data, pattern), data)
     assert set(docs.columns) | {"decoded"} == set(out.columns)
     for r in out.collect():
         assert np.frombuffer(r.token_ids, "<u4").tolist() == plain.encode_ordinary(r.text or "")

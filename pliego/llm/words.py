@@ -6,6 +6,7 @@ none of these inside a longer character, so the work is done on bytes. Hashes ha
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches between rows so that each piece has about `most` bytes of text (or one row)."""
     for batch in batches:
         if not batch.num_rows:
@@ -38,6 +39,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on after their task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def _lengths(column: pa.Array) -> np.ndarray:

@@ -155,14 +155,16 @@ class Codec:
             out.append(packed)
         return b"".join(out)
 
-    def count(self, piece: str) -> int:
-        """Tokens of one pre-token."""
-        packed = self.memo.get(piece)
-        if packed is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            packed = self.memo[piece] = pack(self.encode_piece(piece.encode("utf-8")))
-        return len(packed) // 4
+
+class Counts(dict):
+    """Token counts of pre-tokens, made when they are first asked for."""
+
+    def __init__(self, own: Codec):
+        self.own = own
+
+    def __missing__(self, piece: str) -> int:
+        found = self[piece] = len(self.own.encode_piece(piece.encode("utf-8")))
+        return found
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:

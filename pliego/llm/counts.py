@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pliego.llm.bpe import Codec, codec
+from pliego.llm.bpe import Counts, codec
 from pliego.llm.words import slices
 
 LEAF = 64
+#: Pre-tokens after which a worker's counts start anew.
+MEMO = 500_000
 #: Characters behind its end that may decide where a pre-token ends (one that it stops at, one that a lookahead reads).
 CONTEXT = 2
 
@@ -26,16 +28,18 @@ CONTEXT = 2
 class TokenTree:
     """The pre-tokens of one text, with token counts that stay right under edits."""
 
-    def __init__(self, text: str, own: Codec):
-        self.codec = own
+    def __init__(self, text: str, known: Counts):
+        self.known, self.split = known, known.own.split
+        if len(known) > MEMO:
+            known.clear()
         self.encoded = 0
-        self._grow([[]] if not text else self._leaves(own.split(text)))
+        self._grow([[]] if not text else self._leaves(self.split(text)))
 
     def _leaves(self, pieces: list[str]) -> list[list[str]]:
         return [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
 
     def _sums(self, leaf: list[str]) -> tuple[int, int]:
-        return sum(map(len, leaf)), sum(map(self.codec.count, leaf))
+        return sum(map(len, leaf)), sum(map(self.known.__getitem__, leaf))
 
     def _grow(self, leaves: list[list[str]], known: list[tuple[int, int]] | None = None) -> None:
         """Build the tree above the leaves; node i has the children 2i and 2i + 1."""
@@ -94,7 +98,7 @@ class TokenTree:
                 place += len(piece)
             new, place, meets = [], at, len(old)
             final = last + 1 == len(self.leaves)
-            for piece in self.codec.split(text):
+            for piece in self.split(text):
                 if place in borders and (final or place + CONTEXT <= end + shift):
                     meets = borders[place]
                     break
@@ -160,11 +164,11 @@ def count_tokens(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(shared.value, pattern)
+        known = Counts(codec(shared.value, pattern))
         for batch in slices(batches):
             out = []
             for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
-                tree = TokenTree(text or "", own)
+                tree = TokenTree(text or "", known)
                 before, pieces = tree.count, sum(map(len, tree.leaves))
                 for e in edits or ():
                     if e is not None:

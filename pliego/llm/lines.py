@@ -25,6 +25,8 @@ from pliego.llm.common import cut, written
 from pliego.llm.tables import fixed_table, narrowed
 
 BUCKET_BITS, NEAREST = 16, 16
+#: Pairs of a list that are held at a time.
+PAIRS = 200_000
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -125,76 +127,95 @@ CANDIDATE = "later long, earlier long, more boolean"
 
 def candidates(listed: DataFrame, percent: int, nearest: int | None) -> DataFrame:
     """Pairs of classes that pass the filters: for each line of a list the `nearest` earlier ones (None: all)."""
-    ordered = listed.repartition("word").sortWithinPartitions("word", "doc_id", "line", "class")
-
-    def passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, parity: np.ndarray, parity2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = n[i], n[j]
-        need = -(-percent * (a + b) // (100 + percent))
-        ok = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (1 + np.minimum(a - at[i], b - at[j]) - 1 >= need)
-        apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64) + np.bitwise_count(parity2[i] ^ parity2[j])
-        return ok & (apart <= a + b - 2 * need), apart
-
-    def one_piece(word, cls, n, at, parity, parity2) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    ordered = listed.repartition("word").sortWithinPartitions("word")
+
+    def passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, left: np.ndarray, parity: np.ndarray, parity2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs left by the positional and parity filters, cheapest first, and how far parities are apart."""
+        both = n[i] + n[j]
+        need = -(-percent * both // (100 + percent))
+        enough = np.minimum(left[i], left[j]) >= need
+        i, j, spare = i[enough], j[enough], (both - 2 * need)[enough]
+        apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int32) + np.bitwise_count(parity2[i] ^ parity2[j])
+        close = apart <= spare
+        return i[close], j[close], apart[close]
+
+    def one_piece(word, doc, line, cls, n, at, parity, parity2) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Candidates in whole lists, as classes (later, earlier) and whether the later one has more of them."""
+        order = np.lexsort((cls, line, doc, word))
+        word, cls, n, at, parity, parity2 = (x[order] for x in (word, cls, n, at, parity, parity2))
         # of equal sets in a list the earliest stays
-        order = np.lexsort((np.arange(len(word)), cls, word))
-        again = np.concatenate([[False], (word[order][1:] == word[order][:-1]) & (cls[order][1:] == cls[order][:-1])])
+        order = np.lexsort((cls, word))
+        again = order[1:][(word[order][1:] == word[order][:-1]) & (cls[order][1:] == cls[order][:-1])]
         keep = np.ones(len(word), bool)
-        keep[order[again]] = False
-        word, cls, n, at, parity, parity2 = (x[keep] for x in (word, cls, n, at, parity, parity2))
-        head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        size = np.diff(np.append(head, len(word)))
-        run = np.repeat(size, size)
-        short = run <= nearest if nearest else np.zeros(len(word), bool)
-        index = np.flatnonzero(short & (run > 1))
-        for d in range(1, nearest or 1):
-            i, j = index[:-d], index[d:]
-            same = word[i] == word[j]
-            i, j = i[same], j[same]
-            if not len(i):
-                break
-            ok, _ = passing(i, j, n, at, parity, parity2)
-            yield cls[j[ok]], cls[i[ok]], np.zeros(int(ok.sum()), bool)
-        for h, s in zip(head.tolist(), size.tolist(), strict=True):
-            if s > 1 and not short[h]:
-                for start in range(h, h + s, 256):
-                    j = np.arange(start, min(start + 256, h + s))
-                    i = np.arange(h, j[-1] + 1)
-                    jj, ii = np.repeat(j, len(i)), np.tile(i, len(j))
-                    before = ii < jj
-                    jj, ii = jj[before], ii[before]
-                    ok, apart = passing(ii, jj, n, at, parity, parity2)
-                    ii, jj, apart = ii[ok], jj[ok], apart[ok]
-                    if nearest is None:
-                        yield cls[jj], cls[ii], np.zeros(len(ii), bool)
-                        continue
-                    by = np.lexsort((ii, apart, jj))
-                    ii, jj = ii[by], jj[by]
-                    first = np.searchsorted(jj, jj)
-                    close = np.arange(len(jj)) - first < nearest
-                    more = np.searchsorted(jj, jj, "right") - first > nearest
-                    yield cls[jj[close]], cls[ii[close]], more[close]
+        keep[again] = False
+        rank = np.flatnonzero(keep)
+        order = rank[np.lexsort((n[rank], word[rank]))]  # by size within a list, then by place
+        rank = order
+        word, cls, n, at, parity, parity2 = (x[order] for x in (word, cls, n, at, parity, parity2))
+        left = n - at
+        # Length filter: an entry meets those before it down to percent of its size. The shorter set of a
+        # pair must have its shared word so early that even a set of its own size would reach the overlap.
+        able = np.flatnonzero(left >= -(-2 * percent * n // (100 + percent)))
+        lists = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]])).astype(np.int64) << 32
+        low = np.searchsorted((lists + n)[able], lists - (-percent * n.astype(np.int64) // 100))
+        counts = np.maximum(np.searchsorted(able, np.arange(len(word))) - low, 0)
+        total = np.cumsum(counts)
+        held: list[tuple[np.ndarray, ...]] = []
+        more = np.zeros(len(word), bool)
+
+        def nearest_of(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            later, earlier, apart = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.lexsort((rank[earlier], apart, later))
+            later, earlier, apart = later[by], earlier[by], apart[by]
+            chosen = np.arange(len(later)) - np.searchsorted(later, later) < nearest
+            more[later[~chosen]] = True
+            return later[chosen], earlier[chosen], apart[chosen]
+
+        start = 0
+        while start < len(word):
+            done = total[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+            some = counts[start:stop]
+            j = np.repeat(np.arange(start, stop), some)
+            i = able[np.arange(len(j)) + np.repeat(low[start:stop] - (total[start:stop] - done - some), some)]
+            start = stop
+            i, j, apart = passing(i, j, n, left, parity, parity2)
+            if not len(j):
+                continue
+            first = rank[i] < rank[j]
+            later, earlier = np.where(first, j, i), np.where(first, i, j)
+            if nearest is None:
+                yield cls[later], cls[earlier], np.zeros(len(later), bool)
+                continue
+            held.append((later, earlier, apart))
+            if sum(len(x[0]) for x in held[1:]) > 5 * PAIRS:
+                held = [nearest_of(held)]
+        if held:
+            later, earlier, _ = nearest_of(held)
+            yield cls[later], cls[earlier], more[later]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("word", "class", "n", "at", "parity", "parity2")
-        rest = None
+        names = ("word", "doc_id", "line", "class", "n", "at", "parity", "parity2")
+        rest: list[list[np.ndarray]] = []
 
-        def made(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            columns[2], columns[3] = columns[2].astype(np.int64), columns[3].astype(np.int64)
-            columns[4], columns[5] = columns[4].view(np.uint64), columns[5].view(np.uint64)
+        def made(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            columns[6], columns[7] = columns[6].view(np.uint64), columns[7].view(np.uint64)
             for later, earlier, more in one_piece(*columns):
                 if len(later):
                     yield pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier), pa.array(more)], names=["later", "earlier", "more"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             now = [batch.column(c).to_numpy() for c in names]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
             # the last list may go on in the next batch
-            done = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-            if done:
-                yield from made([x[:done] for x in now])
-            rest = [x[done:] for x in now]
-        if rest is not None and len(rest[0]):
+            done = int(np.searchsorted(now[0], now[0][-1]))
+            if done or (rest and rest[-1][0][-1] != now[0][0]):
+                yield from made([*rest, [x[:done] for x in now]])
+                rest = []
+            rest.append([x[done:] for x in now])
+        if rest:
             yield from made(rest)
 
     # one pair may come from several lists

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,24 @@ def query(sql: str | None = None):
     return register
 
 
+def job(sql: str | None = None):
+    """Register a function of the session, the table folder and a new folder for what it writes."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, sf_dir, own_folder(spark, f.__name__))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the session's spark.checkpoint.dir or, where that is unset (in tests), under a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pliego-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def order_periods(t) -> DataFrame:
     """Each order's period: from its date to its last shipment, where that isn't earlier."""
     last = t("lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").cast("date").alias("end"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pliego.llm import bpe, lines, mixing, neardup, toxicity
-from pliego.llm.common import shared_folder, table
+from pliego.llm.common import shared_folder, table, written
 from pliego.llm.queries import ranks
 
 
@@ -44,7 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids (little-endian unsigned 32-bit integers) and whether they decode to the text."""
     data, pattern = ranks()
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", F.col("text").cast("string")), data, pattern), data)
+    encoded = written(bpe.encode(docs.select("doc_id", "lang", "source", F.col("text").cast("string")), data, pattern))
+    both = bpe.decode(encoded, data)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return both.select("doc_id", "lang", "source", F.expr("cast(octet_length(token_ids) div 4 as long)").alias("n_tokens"), "token_ids", same.alias("decodes"))
 

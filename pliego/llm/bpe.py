@@ -204,16 +204,18 @@ def decode_ids(packed: bytes, texts: dict[int, bytes]) -> bytes:
 def _with_column(frame: DataFrame, name: str, column: str, convert) -> DataFrame:
     """The frame with one binary column more (or in place of one of that name), made row by row from another."""
     rest = [c for c in frame.columns if c != name]
-    packed = frame.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(f"`{column}`").alias("text"))
-    schema = packed.select("row", F.lit(b"").alias("made")).schema
+    others = [F.col(f"`{c}`") for c in rest if c != column]
+    # the column itself goes to Python and back once, beside the others
+    packed = frame.select((F.struct(*others) if others else F.lit(True)).alias("row"), F.col(f"`{column}`").alias("text"))
+    schema = packed.select("row", "text", F.lit(b"").alias("made")).schema
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = convert(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.binary())], names=["row", "made"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(made, pa.binary())], names=["row", "text", "made"])
 
     made = packed.mapInArrow(work, schema)
-    return made.select("row.*", F.col("made").alias(name))
+    return made.select(*[(F.col("text") if c == column else F.col("row")[c]).alias(c) for c in rest], F.col("made").alias(name))
 
 
 def encode(frame: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:

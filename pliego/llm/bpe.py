@@ -180,6 +180,7 @@ def codec(data: bytes, pattern: str) -> Codec:
     key = (hash(data), pattern)
     if key not in _CODECS:
         _CODECS.clear()
+        _TEXTS.clear()
         _CODECS[key] = Codec(parse_ranks(data), pattern)
     return _CODECS[key]
 
@@ -188,10 +189,11 @@ _TEXTS: dict[int, dict[int, bytes]] = {}
 
 
 def token_texts(data: bytes) -> dict[int, bytes]:
-    """A worker's byte strings of all ids: all that decoding needs."""
+    """A worker's byte strings of all ids: all that decoding needs. An encoder's tables that it held go."""
     key = hash(data)
     if key not in _TEXTS:
         _TEXTS.clear()
+        _CODECS.clear()
         _TEXTS[key] = {i: b for b, i in parse_ranks(data).items()}
     return _TEXTS[key]
 

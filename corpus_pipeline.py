@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones. A document that has no word left then goes; n_chars is counted anew."""
-    made = lines.remove_lines(docs)
+    made = lines.remove_lines(docs, least=1)
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     left = made.where((F.col("n_removed") == 0) | worded)
     if "n_chars" in docs.columns:

@@ -5,7 +5,8 @@ size that counts all words by hash bucket. Two sets with similarity t share a wo
 n - ceil(t * n) + 1 of each, so lines meet in the lists of those words only. In a list, pairs must pass
 the length filter, the positional filter (words left after the shared one must suffice) and a bound by
 128-bit parities of the sets; then Jaccard is verified on full sets. Lines with equal sets form a class,
-of which only one enters a list.
+of which only one enters a list. Sets so small that one word more or less is too much (up to three words
+at 80 per cent) match equal sets only, so they enter none.
 
 A line needs just one earlier match to go. So a list gives each line its `NEAREST` candidates by parity;
 only lines for which none of them is verified, and which had more, get all the others in a second round.
@@ -96,7 +97,7 @@ LINE = "doc_id long, line int, class long, n int, parity long, parity2 long, wor
 def compared(docs: DataFrame, level: np.ndarray, least: int, percent: int) -> DataFrame:
     """Every line that is compared, with the words that it is listed under, rarest first.
 
-    Of the lines with one set in a piece of a batch only the earliest has words.
+    Of the lines with one set in a piece of a batch only the earliest has words; sets that only equal sets match have none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
@@ -107,7 +108,9 @@ def compared(docs: DataFrame, level: np.ndarray, least: int, percent: int) -> Da
             order = np.lexsort((x.line, doc, x.key))
             first = np.zeros(len(order), bool)
             first[order] = np.concatenate([[True], x.key[order][1:] != x.key[order][:-1]]) if len(order) else False
-            counts = np.where(first, x.size - -(-percent * x.size // 100) + 1, 0)
+            # the most alike of other sets has one word more
+            others = 100 * x.size >= percent * (x.size + 1)
+            counts = np.where(first & others, x.size - -(-percent * x.size // 100) + 1, 0)
             _, _, word = x.words(np.arange(len(x.key)), counts)
             word = (word & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(word))

@@ -131,8 +131,8 @@ from d left join n using (doc_id) left join kept using (doc_id)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed (lines with a word) and the hash of the text that is left."""
-    found = lines.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=80, least=5)
+    """doc_id, n_lines, n_removed (lines with a word, of any size) and the hash of the text that is left."""
+    found = lines.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=80, least=1)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

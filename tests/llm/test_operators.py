@@ -171,6 +171,31 @@ def test_line_dedup_needs_no_luck_with_candidates(spark, monkeypatch, nearest):
     assert got == want
 
 
+def test_short_lines_are_compared(spark, tmp_path):
+    import corpus_pipeline
+    from pliego.llm import queries
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "\n".join(" ".join(rng.choice(list("abcdef"), int(rng.integers(0, 7)))) for _ in range(4)), "en", "a") for i in range(40)]
+    rows += [(40, "Les.\nq r s t", "en", "a"), (41, "q r s t u\nles.\nq r s\n", "en", "a"), (42, "LES.", "en", "a")]
+    seen, want = [], {}
+    for i, text, *_ in rows:
+        kept = []
+        for line in text.split("\n"):
+            s = frozenset(words(line.translate(LOWER)))
+            if not s or not any(100 * len(s & x) >= 80 * len(s | x) for x in seen):
+                kept.append(line)
+            seen.append(s)
+        want[i] = "\n".join(kept)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.kept_sha256 for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(text.encode()).hexdigest() for i, text in want.items()}
+    stage = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
+    before = {i: text for i, text, *_ in rows}
+    assert stage == {i: text for i, text in want.items() if words(text) or text == before[i]}
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 8))

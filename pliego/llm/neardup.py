@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pliego.llm import words as W
@@ -297,3 +297,18 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     joined = docs.select(row).join(found, F.col("row.doc_id").cast("long") == F.col("kept_id"), "left_semi")
     one = joined.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id"]).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
+
+
+def inherit(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
+    """doc_id, inherits_from and position_ of each row with a doc_id: siblings are near copies of the whole text.
+
+    inherits_from is the smallest doc_id of the row's component; position_ counts its rows by doc_id from 0.
+    Rows are counted in pieces of a table sorted by component, so no component is gathered in one task.
+    """
+    rows = near_duplicates(docs, width, percent).where("doc_id is not null").select("doc_id", F.col("component_id").alias("inherits_from"))
+    ordered = rows.repartitionByRange("inherits_from", "doc_id").sortWithinPartitions("inherits_from", "doc_id")
+    placed = cut(ordered.withColumn("piece", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    pieces = placed.groupBy("inherits_from", "piece").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("inherits_from").orderBy("piece")) - F.col("n")
+    joined = placed.join(pieces.withColumn("before", before), ["inherits_from", "piece"])
+    return joined.select("doc_id", "inherits_from", (F.col("at") - F.col("first") + F.col("before")).alias("position_"))

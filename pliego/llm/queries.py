@@ -158,5 +158,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def near_copy_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the earliest near copy that they inherit from, by whole texts."""
+    return neardup.inherit(table(spark, sf_dir, "documents"), width=5, percent=85)
+
+
 QUERIES["pipeline"] = pipeline
+QUERIES["near_copy_inherit"] = near_copy_inherit
 ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op2_mixing": OP2_SQL, "op6_substring_dedup": OP6_SQL}

@@ -91,6 +91,33 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_siblings_come_from_whole_texts(spark, tmp_path):
+    import __spark_entry__
+
+    opening = "one opening of more than sixty characters that many texts have in common "
+    rows = [(4, BASE, "en", "a"), (2, "put in front " + BASE, "en", "a"), (7, "other " + BASE, "en", "a"), (5, BASE, "en", "b"), (8, None, "en", "a"), (9, None, "en", "a"), (11, "", "en", "a")]
+    rows += [(20 + i, opening + " ".join(f"w{i}x{j}" for j in range(40)), "en", "a") for i in range(3)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    found = __spark_entry__.queries()["near_copy_inherit"](spark, str(tmp_path)).collect()
+    seen, want = defaultdict(int), []
+    for i, _, root in linked(rows, 85):
+        want.append((i, root, seen[root]))
+        seen[root] += 1
+    assert sorted((r.doc_id, r.inherits_from, r.position_) for r in found) == want
+    assert {root for i, root, _ in want if i < 8} == {2}
+
+
+def test_positions_go_on_over_pieces(spark):
+    rows = [(i, BASE if i % 3 else f"{BASE} {i}", "en", "a") for i in range(50)]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # several pieces, small as the table is
+    try:
+        found = neardup.inherit(spark.createDataFrame(rows, SCHEMA)).collect()
+    finally:
+        spark.conf.unset(key)
+    assert sorted((r.doc_id, r.inherits_from, r.position_) for r in found) == [(i, 0, i) for i in range(50)]
+
+
 def test_blocks_of_a_large_list_lose_no_link(spark, monkeypatch):
     rows = [(i, " ".join(f"w{(7 * i) % 13 if j == i % 40 else j}" for j in range(60)), "en", "a") for i in range(120)]
     monkeypatch.setattr(neardup, "BLOCK", 8)

@@ -5,7 +5,8 @@ language and source: a sketch counts values in buckets whose bounds grow by a co
 DDSketch), so it has a bounded number of counters, a relative error of one per cent at any rank, and
 two sketches merge by adding counters. Merging doesn't depend on order, so reruns agree. Groups with
 few documents use the merged sketch of their language, or of everything. A document stays if it
-passes the fixed base rules and if each measure lies within the fences of its group's quantiles.
+passes the fixed base rules and if each rate lies within the fences of its group: a tail quantile, and
+beyond it a multiple of its distance from the median.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pliego.llm import words as W
@@ -23,10 +24,12 @@ from pliego.llm import words as W
 GROWTH = 1.02
 #: Documents that a group needs for thresholds of its own.
 LEAST = 200
-#: Of each measure: the upper fence is at least this much; below it nothing is rejected.
-FLOORS = {"symbols_per_word": 0.25, "dup_line_share": 0.5, "chars_per_word": 12.0}
-#: Fences lie this many times the distance from the median to the lower or upper quartile beyond it.
-REACH = 8.0
+#: Of each rate: the tail quantile that its fences start from, and how many times its distance from the
+#: median they lie beyond it. Up to a share of 1 - tail, junk in a group doesn't move its upper fence.
+#: Few documents repeat lines at all, so that rate's tail lies far out.
+TAILS = {"symbols_per_word": (0.9, 4.0), "dup_line_share": (0.98, 1.0), "chars_per_word": (0.9, 4.0)}
+#: Fences are wider by this much, and by twice the sketch's error, so that groups without any spread keep what is like them.
+SLACK = {"symbols_per_word": 0.05, "dup_line_share": 0.05, "chars_per_word": 0.25}
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -105,14 +108,19 @@ def sketches(measured: DataFrame) -> DataFrame:
     return measured.select("lang", "source", rates).groupBy("lang", "source", "rate", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def _of_rate(values: dict[str, float], rate: str) -> Column:
+    return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))]), F.col(rate))
+
+
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """The quartiles of the sketches merged by `by`: (*by, rate, docs, q25, q50, q75)."""
+    """Median and tails (see TAILS) of the sketches merged by `by`: (*by, rate, docs, under, mid, over)."""
     merged = sketch.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "rate")
     value = F.when(F.col("bucket") == -(2**31), 0.0).otherwise(2 * F.pow(F.lit(GROWTH), F.col("bucket")) / (1 + GROWTH))
-    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group)).withColumn("value", value)
+    tail = _of_rate({k: t for k, (t, _) in TAILS.items()}, "rate")
+    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group)).withColumn("value", value).withColumn("tail", tail)
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("docs") * q, F.col("value")))
-    return ranked.groupBy(*by, "rate").agg(F.first("docs").alias("docs"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
+    return ranked.groupBy(*by, "rate").agg(F.first("docs").alias("docs"), at(1 - F.col("tail")).alias("under"), at(F.lit(0.5)).alias("mid"), at(F.col("tail")).alias("over"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
@@ -120,10 +128,12 @@ def fences(sketch: DataFrame) -> DataFrame:
     own, lang, all_ = (quantiles(sketch, by).alias(name) for name, by in (("own", ["lang", "source"]), ("wide", ["lang"]), ("all", [])))
     joined = own.join(lang, F.col("own.lang").eqNullSafe(F.col("wide.lang")) & (F.col("own.rate") == F.col("wide.rate"))).join(all_, F.col("own.rate") == F.col("all.rate"))
     pick = lambda q: F.when(F.col("own.docs") >= LEAST, F.col(f"own.{q}")).when(F.col("wide.docs") >= LEAST, F.col(f"wide.{q}")).otherwise(F.col(f"all.{q}"))
-    low, mid, high = pick("q25"), pick("q50"), pick("q75")
-    floor = F.element_at(F.create_map(*[x for k, v in FLOORS.items() for x in (F.lit(k), F.lit(v))]), F.col("own.rate"))
-    under = F.when(F.col("own.rate") == "chars_per_word", F.least(mid - REACH * (mid - low), mid / 2)).otherwise(F.lit(-1.0))
-    return joined.select(F.col("own.lang").alias("lang"), F.col("own.source").alias("source"), F.col("own.rate").alias("rate"), under.alias("low"), F.greatest(floor, mid + REACH * (high - mid)).alias("high")).groupBy("lang", "source").agg(
+    under, mid, over = pick("under"), pick("mid"), pick("over")
+    reach, slack = _of_rate({k: r for k, (_, r) in TAILS.items()}, "own.rate"), _of_rate(SLACK, "own.rate")
+    # too few symbols or repeated lines are no fault
+    low = F.when(F.col("own.rate") == "chars_per_word", (under - reach * (mid - under)) * (2 - GROWTH) - slack).otherwise(F.lit(-1.0))
+    high = (over + reach * (over - mid)) * GROWTH + slack
+    return joined.select(F.col("own.lang").alias("lang"), F.col("own.source").alias("source"), F.col("own.rate").alias("rate"), low.alias("low"), high.alias("high")).groupBy("lang", "source").agg(
         F.map_from_entries(F.collect_list(F.struct("rate", F.struct("low", "high")))).alias("fence")
     )
 

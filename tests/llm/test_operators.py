@@ -280,6 +280,20 @@ def test_quality_base_rules(spark, docs, empty):
     assert quality.apply(empty).count() == 0
 
 
+def test_quality_fences_follow_the_source(spark):
+    """Each text is usual in one source and far out in the other, for each rate, and below any fixed cutoff."""
+    plain = lambda i, n=24, size=4: [f"{i:03d}{j:02d}"[-size:].rjust(size, "x") for j in range(n)]
+    symbols = lambda i: " ".join(plain(i) + ["#"] * 5)
+    repeats = lambda i: "\n".join([" ".join(plain(i)[k : k + 3]) for k in range(0, 24, 3)] + ["ab cd"] * 4)
+    longer = lambda i: " ".join(plain(i, size=8))
+    for odd in (symbols, repeats, longer):
+        rows = [(i, " ".join(plain(i)), "en", "usual") for i in range(300)] + [(300 + i, odd(i), "en", "odd") for i in range(300)]
+        rows += [(600, odd(1), "en", "usual"), (601, odd(1), "en", "odd")]
+        kept = {r.doc_id: (r.base_failed, r.kept) for r in quality.apply(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert kept[600] == (False, False) and kept[601] == (False, True)
+        assert all(kept[i] == (False, True) for i in range(600))
+
+
 def test_toxicity_learns_misspellings(spark):
     rng = np.random.default_rng(0)
     plain = ["lorem", "ipsum", "dolor", "amet", "magna", "aliqua", "tempor", "labore"]

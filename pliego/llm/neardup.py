@@ -4,10 +4,10 @@
    Documents with equal sets form a class; only classes go on, so copies cost nothing further.
 2. Inverted lists of retained values: a class enters the lists of the first of its retained values,
    in an order that puts values of crowded hash buckets last (a table of fixed size counts them).
-   Two sets with similarity 0.85 share none of those with a probability of about 1e-10.
+   Two sets just as similar as wanted share none of those with a probability of 2e-10 at most.
 3. Lists with the same members are one. A list of over `BLOCK` members is dealt out as pairs of blocks.
-4. In each list, pairs that the lengths or the sketch of the union rule out (by over six standard
-   deviations) are dropped; the rest is verified on full sets. Only links that join two groups of the
+4. In each list, pairs that the lengths or the sketch of the union rule out (wrongly with a
+   probability of 1e-9 at most) are dropped; the rest is verified on full sets. Only links that join two groups of the
    list are passed on, at most one for each member.
 5. Connected components of the links, with the smallest doc_id of each.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,33 @@ from pliego.llm.common import components, cut
 from pliego.llm.tables import fixed_table, narrowed
 
 SKETCH, BLOCK, TABLE_BITS = 64, 1024, 16
-#: Values listed for each class, before those for crowded values.
-LISTED = 12
-#: Share of the sketch that similar sets have in common: six standard deviations below 0.85.
-SHARED = 0.5625
+#: At most this share of the pairs just at the wanted similarity fails the sketch test; and shares no list.
+UNLIKE, MISSED = 1e-9, 2e-10
+
+
+@cache
+def shared(percent: int) -> float:
+    """Share of the sketch that sets with this similarity have in common (fewer with a probability of UNLIKE at most)."""
+    below, t = 0.0, percent / 100
+    for n in range(SKETCH + 1):
+        below += math.comb(SKETCH, n) * t**n * (1 - t) ** (SKETCH - n)
+        if below > UNLIKE:
+            return n / SKETCH
+    return 1.0
+
+
+@cache
+def listed_values(percent: int, hot: int) -> int:
+    """How many values of a sketch are listed if `hot` of them are crowded: enough that similar sets meet but for MISSED.
+
+    At worst all crowded values, which come last, are shared. Then the first n others are all unshared with a probability
+    of (1 - t)^n * C(SKETCH, n) / C(SKETCH - hot, n) at most. So many that two sets must meet are enough in any case.
+    """
+    most = SKETCH - math.ceil(shared(percent) * SKETCH) + 1
+    for n in range(1, min(most, SKETCH - hot) + 1):
+        if (1 - percent / 100) ** n * math.comb(SKETCH, n) <= MISSED * math.comb(SKETCH - hot, n):
+            return n
+    return most
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,12 +126,11 @@ def listed(values: np.ndarray, total: int, level: np.ndarray, percent: int) -> n
     """The retained values of one class under which it is listed."""
     crowd = level[_buckets(values)]
     order = np.argsort(crowd, kind="stable")  # values are sorted already
-    hot = int((crowd > 0).sum())
     size = len(values)
-    most = size - math.ceil(SHARED * size) + 1
+    count = listed_values(percent, int((crowd > 0).sum()))
     if total == size:
-        most = max(min(LISTED, size), size - -(-percent * size // 100) + 1)
-    return values[order[: min(most, LISTED + -(-hot // 3))]]
+        count = min(count, max(listed_values(percent, 0), size - -(-percent * size // 100) + 1))
+    return values[order[:count]]
 
 
 def lists(classes: DataFrame, percent: int) -> DataFrame:
@@ -116,13 +139,13 @@ def lists(classes: DataFrame, percent: int) -> DataFrame:
     load = max(1.0, counts.mean())
     # values in buckets with under 8 times the mean load, or under 64 values, count as rare
     level = np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / max(8 * load, 64.0)) + 1)).astype(np.int8)
-    shared = classes.sparkSession.sparkContext.broadcast(level)
+    levels = classes.sparkSession.sparkContext.broadcast(level)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, values = [], []
             for key, n, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "sketch")), strict=True):
-                some = listed(np.frombuffer(packed, np.uint64), n, shared.value, percent)
+                some = listed(np.frombuffer(packed, np.uint64), n, levels.value, percent)
                 values.append(some)
                 keys.append(np.full(len(some), key, np.int64))
             if keys:
@@ -173,7 +196,7 @@ def links(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int)
     rough = _overlaps([s[:SKETCH] for s in sets], None if others is None else [s[:SKETCH] for s in others])
     left, right = n[: len(sets), None], n[None, shift:]
     least = np.minimum(np.minimum(left, right), SKETCH)
-    mask = (rough >= np.ceil(SHARED * least)) & (100 * np.minimum(left, right) >= percent * np.maximum(left, right))
+    mask = (rough >= np.ceil(shared(percent) * least)) & (100 * np.minimum(left, right) >= percent * np.maximum(left, right))
     if others is None:
         mask = np.triu(mask, 1)
     i, j = np.nonzero(mask)
@@ -203,7 +226,7 @@ def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     """The union's sketch first, then the full sets."""
     union = np.union1d(one[:SKETCH], two[:SKETCH])[:SKETCH]
     common = np.isin(union, one[:SKETCH], assume_unique=True) & np.isin(union, two[:SKETCH], assume_unique=True)
-    if common.sum() < math.ceil(SHARED * len(union)):
+    if common.sum() < math.ceil(shared(percent) * len(union)):
         return False
     inter = len(np.intersect1d(one, two, assume_unique=True))
     return 100 * inter >= percent * (len(one) + len(two) - inter)

@@ -1,6 +1,7 @@
 """Each operator on small tables with nulls, empty and repeated rows, clashing columns and empty inputs, against plain code."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -125,6 +126,21 @@ def test_blocks_of_a_large_list_lose_no_link(spark, monkeypatch):
     assert got == linked(rows, 80)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_rare_links_pass_the_sketches(percent):
+    """Pairs just similar enough whose sketches share few values (a chance of over 1e-9), also where all shared ones are crowded."""
+    unshared = {80: 31, 85: 29}[percent]
+    assert sum(math.comb(64, k) * (1 - percent / 100) ** k * (percent / 100) ** (64 - k) for k in range(unshared, 65)) > 1e-9
+    small = np.arange(unshared, unshared * percent // (100 - percent) + unshared + 1, dtype=np.uint64)
+    large = np.concatenate([np.arange(unshared, dtype=np.uint64), small])
+    assert neardup.similar(small, large, percent) and neardup.links([small, large], None, percent) == [(0, 1)]
+    level = np.zeros(2**neardup.TABLE_BITS, np.int8)
+    level[neardup._buckets(small)] = 1
+    level[neardup._buckets(large[:unshared])] = 0
+    first, second = (neardup.listed(x[:64], len(x), level, percent) for x in (small, large))
+    assert np.isin(first, second).any()
+
+
 def test_components(spark):
     pairs = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 5), (2, 2), (None, 1)], "a long, b long")
     assert sorted(map(tuple, common.components(pairs).collect())) == [(3, 3), (4, 3), (5, 3), (8, 8), (9, 8)]

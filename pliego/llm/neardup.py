@@ -90,7 +90,7 @@ def class_keys(found: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, key (null without shingles) and sketch (sorted 64-bit values) of each row."""
+    """doc_id, mark (a hash of the text), n_shingles, key (null without shingles) and sketch (sorted 64-bit values) of each row."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):
@@ -102,11 +102,11 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             flat = found[np.arange(ends[-1]) - np.repeat(ends[:-1], kept) + np.repeat(places[:-1], kept)]
             sketches = pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(flat.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(W.signed(keys), pa.int64(), mask=counts == 0), sketches], names=["doc_id", "n_shingles", "key", "sketch"]
+                [batch.column("doc_id"), batch.column("mark"), pa.array(counts, pa.int64()), pa.array(W.signed(keys), pa.int64(), mask=counts == 0), sketches], names=["doc_id", "mark", "n_shingles", "key", "sketch"]
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(work, "doc_id long, n_shingles long, key long, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("mark", F.xxhash64("text"))
+    return rows.mapInArrow(work, "doc_id long, mark long, n_shingles long, key long, sketch binary")
 
 
 def _buckets(values: np.ndarray) -> np.ndarray:
@@ -298,6 +298,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     kept says whether it is the row's own. Null, empty and wordless texts are linked with nothing.
     Rows that share a doc_id are compared like others, so copies with one doc_id are all kept or none is.
     """
+    return _marked(docs, width, percent).drop("mark")
+
+
+def _marked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """near_duplicates with each text's mark."""
     sketched = sketch(docs, width)
     rows = cut(sketched.drop("sketch"))
     classes = cut(sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
@@ -306,18 +311,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
     alone = F.coalesce("least", "first")
     ids = classes.select("key", F.col("doc_id").alias("first")).join(named.join(least, "component").select("key", "least"), "key", "left").select("key", alone.alias("component_id"))
-    joined = rows.join(ids, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = rows.join(ids, "key", "left").select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` without near duplicates: of each component the one with the smallest doc_id, once.
 
-    Rows without a doc_id are kept as they are.
+    Of rows that share a doc_id only texts that are kept themselves count; of these one stays, the one with the smallest
+    hash of its text. Rows without a doc_id are kept as they are.
     """
-    found = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = _marked(docs, width, percent).where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.min("mark").alias("mark"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    joined = docs.select(row).join(found, F.col("row.doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    same = (F.col("row.doc_id").cast("long") == F.col("kept_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("mark"))
+    joined = docs.select(row).join(kept, same, "left_semi")
     one = joined.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id"]).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
 

@@ -119,6 +119,16 @@ def test_positions_go_on_over_pieces(spark):
     assert sorted((r.doc_id, r.inherits_from, r.position_) for r in found) == [(i, 0, i) for i in range(50)]
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_of_rows_with_one_id_the_clean_one_stays(spark, turned):
+    rows = [(1, BASE, "en", "a")]
+    for i in range(2, 12):
+        two = [(i, BASE, "en", "a"), (i, " ".join(f"own{i}x{j}" for j in range(40)), "en", "a")]
+        rows += two[::-1] if turned else two
+    kept = neardup.keep_one(spark.createDataFrame(rows, SCHEMA).coalesce(1), 5, 80)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted((i, t) for i, t, *_ in rows if i == 1 or t != BASE)
+
+
 def test_blocks_of_a_large_list_lose_no_link(spark, monkeypatch):
     rows = [(i, " ".join(f"w{(7 * i) % 13 if j == i % 40 else j}" for j in range(60)), "en", "a") for i in range(120)]
     monkeypatch.setattr(neardup, "BLOCK", 8)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,27 +21,55 @@ def word_count(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, or where it is unset (in tests) a temporary folder."""
+    """The session's spark.checkpoint.dir. Where it is unset: a temporary folder if all runs in one process (as in tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pliego-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """Steps run inside give up their shuffle files when they end; else those stay until the driver's next collection of garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     spark = frame.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return frame.checkpoint()
+    with _freeing(spark):
+        return frame.select("*").checkpoint()
 
 
 def written(frame: DataFrame) -> DataFrame:
     """As `cut`, but as compressed columns: for larger tables of which later steps read a few columns."""
-    path = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    with _freeing(spark):
+        frame.select("*").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def removed(frame: DataFrame) -> None:
+    """Delete a table that `written` made, once nothing reads it any more."""
+    context = frame.sparkSession.sparkContext
+    for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(pairs: DataFrame, left: str = "a", right: str = "b") -> DataFrame:

@@ -13,7 +13,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pliego.llm import words as W
-from pliego.llm.common import cut
+from pliego.llm.common import cut, removed, written
 from pliego.llm.fmindex import FMIndex
+from pliego.llm.tables import narrowed
 
-RUN, SHARD = 10, 1_000_000
+RUN, SHARD = 10, 250_000
 #: Windows in a stretch at most (texts that repeat one word have a single anchor).
 LONGEST = 200
 
@@ -39,17 +39,42 @@ def minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(values) - width + 1], out[width - span : width - span + len(values) - width + 1])
 
 
+def run_hashes(hashed: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Hashes of all runs of 1, 2, 4, ... neighbours, up to `longest` of them."""
+    out, span = [hashed], 1
+    while 2 * span <= min(longest, len(hashed)):
+        half = out[-1]
+        both = half[:-span] * np.uint64(0xD6E8FEB86659FD93) + half[span:]
+        both ^= both >> np.uint64(29)
+        both *= np.uint64(0x9E3779B97F4A7C15)
+        both ^= both >> np.uint64(32)
+        out.append(both)
+        span *= 2
+    return out
+
+
+def joined_hashes(runs: list[np.ndarray], start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of words: of the two longest runs of a power of two that together cover it."""
+    level = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
+    out = np.zeros(len(start), np.uint64)
+    for i in np.unique(level):
+        own = level == i
+        first = start[own]
+        out[own] = runs[i][first] * np.uint64(0xD6E8FEB86659FD93) + runs[i][first + sizes[own] - 2**i]
+    return W.mix(out + sizes.astype(np.uint64))
+
+
 def stretches(hashed: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """(row, first window's place among all words, windows, anchor, hash) of each stretch."""
     run = min(RUN, width)
     none = np.zeros(0, np.int64)
-    if len(hashed) < width:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    anchors = minima(W.windows(hashed, run), width - run + 1)
     at, row = W.window_rows(firsts, width)
     if not len(at):
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    anchor = anchors[at]
+    runs = run_hashes(hashed, LONGEST + width)
+    level = run.bit_length() - 1
+    of_run = W.mix(runs[level][: len(hashed) - run + 1] * np.uint64(0xD6E8FEB86659FD93) + runs[level][run - 2**level :])
+    anchor = minima(of_run, width - run + 1)[at]
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     head = np.flatnonzero(new)
@@ -59,22 +84,17 @@ def stretches(hashed: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.nd
     step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     head = np.repeat(head, parts) + step * LONGEST
     count = np.minimum(np.repeat(count, parts) - step * LONGEST, LONGEST)
-    start, sizes = at[head], count + width - 1
-    return row[head], start, count, anchor[head], _stretch_hash(hashed, start, sizes)
-
-
-def _stretch_hash(hashed: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A hash of the words of each stretch."""
-    data = hashed.view(np.uint8)
-    return W.hashes(data, start * 8, (start + sizes) * 8)
+    start = at[head]
+    return row[head], start, count, anchor[head], joined_hashes(runs, start, count + width - 1)
 
 
-def text_keys(hashed: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """A hash of each row's words: rows that share a doc_id are told apart by it."""
-    return W.hashes(hashed.view(np.uint8), firsts[:-1] * 8, firsts[1:] * 8)
+STRETCH = "doc_id long, text_key long, anchor long, stretch long, start int, windows int"
 
 
-STRETCH = "doc_id long, text_key long, anchor long, stretch long, start int, windows int"
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_key) of all rows: those that share a doc_id are told apart by a hash of their text."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.withColumn("text_key", F.xxhash64("text"))
 
 
 def split(docs: DataFrame, width: int) -> DataFrame:
@@ -84,51 +104,54 @@ def split(docs: DataFrame, width: int) -> DataFrame:
         for batch in W.slices(batches):
             data, offsets = W.raw(batch.column("text"))
             starts, ends, firsts = W.spans(data, offsets)
-            hashed = W.hashes(data, starts, ends)
-            row, start, count, anchor, stretch = stretches(hashed, firsts, width)
-            keys = text_keys(hashed, firsts)
-            columns = [batch.column("doc_id").take(pa.array(row)), pa.array(W.signed(keys)[row]), pa.array(W.signed(anchor)), pa.array(W.signed(stretch)), pa.array((start - firsts[row]).astype(np.int32)), pa.array(count.astype(np.int32))]
+            row, start, count, anchor, stretch = stretches(W.hashes(data, starts, ends), firsts, width)
+            own = pa.array(row)
+            columns = [batch.column("doc_id").take(own), batch.column("text_key").take(own), pa.array(W.signed(anchor)), pa.array(W.signed(stretch)), pa.array((start - firsts[row]).astype(np.int32)), pa.array(count.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in STRETCH.split(", ")])
 
     return docs.mapInArrow(work, STRETCH)
 
 
 def with_words(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(anchor, stretch, doc_id, words) of chosen stretches: one row per document with a list of them."""
-    per_doc = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "anchor", "stretch", "start", "size")).alias("parts"))
-    schema = "anchor long, stretch long, doc_id long, words binary"
+    """(anchor, stretch, doc_id, blocks, words) of chosen stretches, with the bytes of their words: one row per document becomes a row per stretch."""
+    per_doc = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "anchor", "stretch", "start", "size", "blocks")).alias("parts"))
+    schema = "anchor long, stretch long, doc_id long, blocks int, words binary"
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):
             data, offsets = W.raw(batch.column("text"))
             starts, ends, firsts = W.spans(data, offsets)
-            hashed = W.hashes(data, starts, ends)
-            keys = W.signed(text_keys(hashed, firsts))
+            keys = batch.column("text_key").to_numpy()
             parts = batch.column("parts")
             flat = parts.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
-            text_key, anchor, stretch, start, size = (flat.field(i).to_numpy() for i in range(5))
-            own = text_key == keys[row]
-            row, anchor, stretch, start, size = row[own], anchor[own], stretch[own], start[own].astype(np.int64) + firsts[row[own]], size[own].astype(np.int64)
-            places = np.concatenate([[0], np.cumsum(size)])
-            taken = hashed[np.arange(places[-1]) - np.repeat(places[:-1], size) + np.repeat(start, size)]
-            binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((places * 8).astype(np.int32)), pa.py_buffer(taken.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(stretch), batch.column("doc_id").take(pa.array(row)), binary], names=["anchor", "stretch", "doc_id", "words"])
+            own = flat.field(0).to_numpy() == keys[row]
+            row, flat = row[own], flat.filter(pa.array(own))
+            first = flat.field(3).to_numpy().astype(np.int64) + firsts[row]
+            last = first + flat.field(4).to_numpy() - 1
+            blob = data.tobytes()
+            words = [blob[a:b] for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([flat.field(1), flat.field(2), batch.column("doc_id").take(pa.array(row)), flat.field(5), pa.array(words, pa.binary())], names=["anchor", "stretch", "doc_id", "blocks", "words"])
 
-    return docs.join(per_doc, "doc_id").select("doc_id", "text", "parts").mapInArrow(work, schema)
+    wanted = narrowed(docs, per_doc.select("doc_id"))
+    return wanted.join(per_doc, "doc_id").select("doc_id", "text", "text_key", "parts").mapInArrow(work, schema)
 
 
 RESULT = "anchor long, stretch long, first long, flags binary"
 
 
-def search(stretched: DataFrame, blocks: DataFrame, words: int, width: int) -> DataFrame:
-    """For each stretch with a window that a smaller doc_id has: a byte for each window, 1 where that is so."""
+def search(stretched: DataFrame, words: int, width: int) -> DataFrame:
+    """For each stretch with a window that a smaller doc_id has: a byte for each window, 1 where that is so.
+
+    Shards hold about SHARD words; a task works on several, one after another.
+    """
     shards = max(1, -(-words // SHARD))
+    tasks = max(min(shards, int(stretched.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-shards // 64))
     own = F.pmod(F.xxhash64("stretch"), F.col("blocks")).cast("int")
-    rows = stretched.join(blocks, "anchor").withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    home = F.when(F.col("blocks") > 1, F.xxhash64("anchor", "block")).otherwise(F.pmod(F.xxhash64("anchor"), shards))
+    rows = stretched.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    home = F.when(F.col("blocks") > 1, F.xxhash64("anchor", "block")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     rows = rows.select("anchor", "stretch", "doc_id", "words", (F.col("own") == F.col("block")).alias("indexed"), home.alias("home"))
-    ordered = rows.repartition(shards, "home").sortWithinPartitions("home", "anchor", F.desc("indexed"), "stretch")
+    ordered = rows.repartition(tasks, "home").sortWithinPartitions("home", "anchor", F.desc("indexed"), "stretch")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexed, queue, index = [], [], None
@@ -153,13 +176,16 @@ def search(stretched: DataFrame, blocks: DataFrame, words: int, width: int) -> D
             indexed.clear()
             queue.clear()
 
-        for batch in batches:
-            for anchor, stretch, doc, packed, inside, home in zip(*(batch.column(c).to_pylist() for c in ("anchor", "stretch", "doc_id", "words", "indexed", "home")), strict=True):
+        for batch in W.slices(batches, "words"):
+            data, offsets = W.raw(batch.column("words"))
+            starts, ends, firsts = W.spans(data, offsets)
+            hashed, edges = W.hashes(data, starts, ends), firsts.tolist()
+            for i, (anchor, stretch, doc, inside, home) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("anchor", "stretch", "doc_id", "indexed", "home")), strict=True)):
                 if home != now or (held > SHARD and anchor != last):
                     yield from flush()
                     now, held, index = home, 0, None
                 last = anchor
-                part = np.frombuffer(packed, np.uint64)
+                part = hashed[edges[i] : edges[i + 1]]
                 if inside:
                     held += len(part)
                     indexed.append((anchor, stretch, doc, part))
@@ -177,17 +203,19 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
 
     start counts words; flags has a byte for each of the windows, or is null where all are meant.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    light = split(rows, width)
+    rows = keyed(docs).where("doc_id is not null")
+    light = written(split(rows, width))
     shared = light.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    found = cut(light.join(shared, "anchor"))
-    chosen = cut(found.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "text_key", "start", (F.col("windows") + width - 1).alias("size"))).alias("m")).select("anchor", "stretch", "m.*"))
-    per_anchor = chosen.groupBy("anchor").agg(F.sum("size").alias("words"))
+    found = written(light.join(shared, "anchor"))
+    removed(light)
+    distinct = written(found.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "text_key", "start", (F.col("windows") + width - 1).alias("size"))).alias("m")).select("anchor", "stretch", "m.*"))
+    per_anchor = distinct.groupBy("anchor").agg(F.sum("size").alias("words")).where(F.col("words") > SHARD)
     blocks = per_anchor.select("anchor", F.ceil(F.col("words") / SHARD).cast("int").alias("blocks"))
-    total = chosen.agg(F.sum("size")).first()[0] or 0
-    hits = cut(search(with_words(rows, chosen), blocks, total, width))
+    chosen = distinct.join(blocks, "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    total = distinct.agg(F.sum("size")).first()[0] or 0
+    hits = cut(search(with_words(rows, chosen), total, width))
     # a document that isn't the first with a stretch loses all its windows
-    firsts = chosen.select("anchor", "stretch", F.col("doc_id").alias("first"))
+    firsts = distinct.select("anchor", "stretch", F.col("doc_id").alias("first"))
     later = found.join(firsts, ["anchor", "stretch"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "text_key", "start", "windows", F.lit(None).cast("binary").alias("flags"))
     own = found.join(hits, ["anchor", "stretch"]).where(F.col("doc_id") == F.col("first")).select("doc_id", "text_key", "start", "windows", "flags")
     return later.unionByName(own)
@@ -206,13 +234,12 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     spans = repeated_spans(docs, width)
     per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "start", "windows", "flags")).alias("parts"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):
             data, offsets = W.raw(batch.column("text"))
             starts, ends, firsts = W.spans(data, offsets)
-            keys = W.signed(text_keys(W.hashes(data, starts, ends), firsts))
+            keys = batch.column("text_key").to_numpy()
             cover = np.zeros(len(starts) + 1, np.int64)
             for i, parts in enumerate(batch.column("parts").to_pylist()):
                 for part in parts or ():
@@ -231,7 +258,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
             lost = np.concatenate([[0], np.cumsum(gone)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(firsts), pa.int64()), pa.array(lost[firsts[1:]] - lost[firsts[:-1]], pa.int64()), texts], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return rows.join(per_doc, "doc_id", "left").select("doc_id", "text", "parts").mapInArrow(work, REWRITTEN)
+    return keyed(docs).join(per_doc, "doc_id", "left").select("doc_id", "text", "text_key", "parts").mapInArrow(work, REWRITTEN)
 
 
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray, keep: np.ndarray) -> pa.Array:

@@ -7,16 +7,19 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pliego.llm import words as W
 
 SLICES = 16
-#: Bits of the filter of `narrowed`.
-FILTER_BITS = 24
+#: Tables of so many tasks are merged at a time, so that no group holds those of all tasks.
+FAN_IN = 64
+#: The filter of `narrowed` has a power of two of bits, at least 8 for each row that is wanted, within these bounds.
+LEAST_BITS, MOST_BITS = 20, 28
 
 
 def fixed_table(frame: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], None], size: int, kind: str, merge: Callable) -> np.ndarray:
-    """A table of fixed size, filled in each task and merged slice by slice."""
+    """A table of fixed size, filled in each task and merged slice by slice: those of `FAN_IN` tasks first, then the rest."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size, kind)
@@ -29,21 +32,27 @@ def fixed_table(frame: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], N
         total = merge([np.frombuffer(b, kind) for b in parts.column("part").to_pylist()])
         return pa.table({"slice": pa.array([parts.column("slice")[0].as_py()], pa.int32()), "part": pa.array([total.astype(kind).tobytes()], pa.binary())})
 
-    rows = frame.mapInArrow(each, "slice int, part binary").groupBy("slice").applyInArrow(join, "slice int, part binary").collect()
+    filled = frame.mapInArrow(each, "slice int, part binary").withColumn("tasks", F.floor(F.spark_partition_id() / FAN_IN))
+    merged = filled.groupBy("slice", "tasks").applyInArrow(join, "slice int, part binary")
+    rows = merged.groupBy("slice").applyInArrow(join, "slice int, part binary").collect()
     return np.concatenate([np.frombuffer(r.part, kind) for r in sorted(rows)]) if rows else np.zeros(size, kind)
 
 
 def narrowed(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """`docs` without most of those that `needed` (doc_id) doesn't hold: a filter of fixed size, before any shuffle."""
+    """`docs` without most of those that `needed` (doc_id) doesn't hold: a filter before any shuffle.
+
+    It has 32 megabytes at most; beyond some thirty million wanted rows it drops ever less, and never a wanted one.
+    """
+    bits = min(max((8 * needed.count()).bit_length(), LEAST_BITS), MOST_BITS)
 
     def places(ids: np.ndarray) -> np.ndarray:
-        return (W.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return (W.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def fill(batch: pa.RecordBatch, table: np.ndarray) -> None:
         at = places(batch.column("doc_id").to_numpy())
         np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
-    table = fixed_table(needed.select("doc_id"), fill, 2 ** (FILTER_BITS - 3), "u1", lambda parts: np.bitwise_or.reduce(parts))
+    table = fixed_table(needed.select("doc_id"), fill, 2 ** (bits - 3), "u1", lambda parts: np.bitwise_or.reduce(parts))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

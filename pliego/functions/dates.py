@@ -33,6 +33,25 @@ def any_date(text: Column) -> Column:
     return F.coalesce(iso, F.try_to_date(F.regexp_extract(text, r"^\s*(\d{2}/\d{2}/\d{4})", 1), "dd/MM/yyyy"))
 
 
+#: Spanish months, in order.
+MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "setiembre", "octubre", "noviembre", "diciembre")
+
+
+def said_date(text: Column) -> Column:
+    """The first date in a sentence: DD/MM/YYYY, else `12 de marzo de 1996`. A month alone is no date."""
+    short = F.try_to_date(F.regexp_extract(text, r"\b(\d{2}/\d{2}/\d{4})\b", 1), "dd/MM/yyyy")
+    rule = rf"(?i)\b(\d{{1,2}})\s+de\s+({'|'.join(MONTHS)}|septiembre)\s+del?\s+(?:año\s+)?(\d{{4}})\b"
+    name = F.replace(F.lower(F.regexp_extract(text, rule, 2)), F.lit("septiembre"), F.lit("setiembre"))
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), name)
+    spelled = F.concat_ws("-", F.regexp_extract(text, rule, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(text, rule, 1), 2, "0"))
+    return F.coalesce(short, F.try_to_date(spelled, "yyyy-MM-dd"))
+
+
+def axis_unit(months: Column) -> Column:
+    """What a time axis counts in: months up to 60 of them, quarters up to 240, else years."""
+    return F.when(months <= 60, "mes").when(months <= 240, "trimestre").otherwise("anio")
+
+
 def epoch_date(text: Column) -> Column:
     """The day of `/Date(milliseconds)/`."""
     return F.to_date(F.timestamp_millis(F.regexp_extract(text, r"/Date\((-?\d+)\)/", 1).try_cast("long")))

@@ -2,23 +2,61 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks that occur in the sources, and the letters that they stand for.
-MARKED = "áéíóúüñàèìòùâêîôûäëïöçãõÁÉÍÓÚÜÑÀÈÌÒÙÂÊÎÔÛÄËÏÖÇÃÕ"
-PLAIN = "aeiouunaeiouaeiouaeiocaoAEIOUUNAEIOUAEIOUAEIOCAO"
+
+
+def _folded() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """Characters that decompose: to one letter with marks, to one ASCII character in any way, and to several."""
+    marked, single, several = {}, {}, {}
+    for code in [*range(0xA0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), *range(0x2000, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+        c = chr(code)
+        base = [x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)]
+        if len(base) == 1 and base[0] != c:
+            marked[c] = base[0]
+        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            single[c] = plain
+        elif plain:
+            several[c] = plain
+    return marked, single, several
+
+
+_MARKED, _SINGLE, _SEVERAL = _folded()
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def without_marks(text: Column) -> Column:
+    """Letters without their marks, whether these are part of the letter or follow it."""
+    return F.regexp_replace(F.translate(text, "".join(_MARKED), "".join(_MARKED.values())), r"\p{Mn}+", "")
+
+
+def ascii_of(text: Column) -> Column:
+    """Compatible ASCII characters: letters without marks, º as o, ½ as 12, ﬁ as fi, … as three dots; all others go."""
+    some = "[" + "".join(_SEVERAL) + "]"
+    wide = text
+    for char, plain in _SEVERAL.items():
+        wide = F.replace(wide, F.lit(char), F.lit(plain))
+    text = F.when(text.rlike(some), wide).otherwise(text)
+    return F.regexp_replace(F.translate(text, "".join(_SINGLE), "".join(_SINGLE.values())), r"[^\x00-\x7F]", "")
 
 
 def fold(text: Column) -> Column:
     """Without marks, in lower case."""
-    return F.lower(F.translate(text, MARKED, PLAIN))
+    return F.lower(without_marks(text))
 
 
 def norm(text: Column) -> Column:
-    """Without marks and other non-ASCII characters, single spaces, trimmed, in upper case."""
-    ascii_ = F.regexp_replace(F.translate(text, MARKED, PLAIN), r"[^\x00-\x7F]", "")
-    return F.upper(F.trim(F.regexp_replace(ascii_, r"\s+", " ")))
+    """Compatible ASCII characters only, single spaces, trimmed, in upper case."""
+    return F.upper(F.trim(F.regexp_replace(ascii_of(text), r"\s+", " ")))
 
 
 def clean(text: Column) -> Column:
@@ -36,6 +74,16 @@ def contains_folded(text: Column, needle: str) -> Column:
     return F.contains(fold(text), fold(F.lit(needle)))
 
 
+def first_filled(*texts: Column) -> Column:
+    """The first text that has more than blanks."""
+    return F.coalesce(*[F.when(F.trim(t) != "", t) for t in texts])
+
+
+def excerpt(text: Column, most: int) -> Column:
+    """A text of `most` characters at most, with dots where it was cut."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 1), F.lit("…")))
+
+
 def compact(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 

@@ -108,3 +108,50 @@ def bucket_overlaps(periods: DataFrame, key: str, unit: str = "quarter") -> Data
     merged = union(cut, [key, "bucket"])
     gross = F.sum("gross_days") > F.sum(inclusive_days(F.col("start"), F.col("end")))
     return merged.groupBy(key, "bucket").agg(F.sum("parts").cast("long").alias("n"), gross.alias("shared"))
+
+
+def suspensions(months: DataFrame, keys: list[str]) -> DataFrame:
+    """Stopped stretches of works: (keys, start, end), from rows (keys, month, stopped, stopped_on), one per month and key.
+
+    A stopped month reaches from its first day, or the exact day of the stop, to the first day of the next month (the
+    last day of December). A next stopped row goes on with it if it begins within 31 days of its end; an active row ends it.
+    """
+    first = F.trunc("month", "MM")
+    end = F.when(F.month(first) == 12, F.last_day(first)).otherwise(F.add_months(first, 1))
+    rows = months.select(*keys, first.alias("month"), "stopped", F.coalesce("stopped_on", first).alias("start"), end.alias("end"))
+    order = Window.partitionBy(*keys).orderBy("month", "start")
+    active = rows.withColumn("block", F.count_if(~F.col("stopped")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("stopped")
+    within = Window.partitionBy(*keys, "block").orderBy("month", "start")
+    before = F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    marked = active.withColumn("new", F.when(before.isNull() | (F.datediff("start", before) > 31), 1).otherwise(0))
+    numbered = marked.withColumn("run", F.sum("new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "block", "run").agg(F.min_by("start", F.struct("month", "start")).alias("start"), F.max("end").alias("end")).drop("block", "run")
+
+
+def inactivity(months: DataFrame, keys: list[str]) -> DataFrame:
+    """All stretches in which a work didn't go on: (keys, start, end, kind), `paralizado` and `sin_valorizacion` (months without a row)."""
+    stopped = suspensions(months, keys).withColumn("kind", F.lit("paralizado"))
+    missing = month_gaps(months.select(*keys, "month"), keys).withColumn("kind", F.lit("sin_valorizacion"))
+    return stopped.unionByName(missing)
+
+
+def held_throughout(periods: DataFrame, spans: DataFrame, keys: list[str], good: str) -> DataFrame:
+    """Whether a state held over a whole period: (keys, verdict): true, false where another state touches it, null where days are unknown.
+
+    `spans`: (keys, start, end, state); keys are unique in `periods`.
+    """
+    cut = clip(periods, spans, keys)
+    bad = cut.groupBy(*keys).agg(F.bool_or(F.col("state") != good).alias("bad"))
+    holes = uncovered(periods, cut.select(*keys, "start", "end"), keys).select(*keys).distinct().withColumn("hole", F.lit(True))
+    joined = valid(periods).select(*keys).join(bad, keys, "left").join(holes, keys, "left")
+    return joined.select(*keys, F.when(F.col("bad"), False).when(F.col("hole") | F.col("bad").isNull(), None).otherwise(True).alias("verdict"))
+
+
+def axis_range(periods: DataFrame, milestones: DataFrame, keys: list[str], months: int = 6) -> DataFrame:
+    """The axis of each key: (keys, start, end) of its periods, stretched to milestones (keys, day) within some months of them."""
+    span = valid(periods).groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    near = milestones.join(span, keys).groupBy(*keys).agg(
+        F.min(F.when((F.col("day") < F.col("start")) & (F.col("day") >= F.add_months("start", -months)), F.col("day"))).alias("low"),
+        F.max(F.when((F.col("day") > F.col("end")) & (F.col("day") <= F.add_months("end", months)), F.col("day"))).alias("high"),
+    )
+    return span.join(near, keys, "left").select(*keys, F.coalesce("low", "start").alias("start"), F.coalesce("high", "end").alias("end"))

@@ -40,3 +40,42 @@ def decide(candidates: DataFrame, case: str, guard: float = 4.0, sure: float = 9
         .otherwise("REVISION")
     )
     return top.select(case, "candidate", F.col("free").alias("score"), F.greatest("rivals", F.lit(0).cast("long")).alias("rivals"), via.alias("via"))
+
+
+def inherit(rows: DataFrame, id_: str, group: str, code: str, alike) -> DataFrame:
+    """Rows without a code take it from the earliest row with one of their group that `alike(a, b)` accepts: (id, code, source).
+
+    `alike` gets the structs of both rows. Only rows that had a code give it on, so the order of rows without one doesn't
+    matter. Groups are folios or projects: a group's rows with a code meet its rows without one, so keep groups small.
+    """
+    have = rows.where(F.col(code).isNotNull()).select(group, F.struct("*").alias("giver"))
+    lack = rows.where(F.col(code).isNull()).select(group, F.struct("*").alias("taker"))
+    found = lack.join(have, group).where(alike(F.col("taker"), F.col("giver"))).groupBy(F.col(f"taker.{id_}").alias(id_))
+    best = found.agg(F.min(F.struct(F.col(f"giver.{id_}").alias("source"), F.col(f"giver.{code}").alias(code))).alias("m")).select(id_, f"m.{code}", "m.source")
+    own = rows.where(F.col(code).isNotNull()).select(id_, code, F.lit(None).cast("long").alias("source"))
+    rest = rows.where(F.col(code).isNull()).select(id_).join(best, id_, "left").select(id_, code, "source")
+    return own.unionByName(rest)
+
+
+def certainty(private: Column, cited: Column, code: Column, parts: Column, resolved: Column, official: Column, inferred: Column) -> Column:
+    """How sure it is which work is meant, the first that holds: a private one, a cited code, several works, official evidence, a name."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when(yes(private), "privada")
+        .when(yes(cited) & code.isNotNull(), "citado")
+        .when(parts > 1, F.when(resolved == 0, "sin_identificar").otherwise("multi_obra"))
+        .when(yes(official), "confirmado_mef")
+        .when(yes(inferred) & ~yes(cited) & code.isNotNull(), "inferido")
+        .otherwise("sin_identificar")
+    )
+
+
+def route(declared: Column, override: Column, text: Column) -> Column:
+    """By documents or by works: what is declared, else overridden, else what the text says."""
+    said = F.when(F.lower(text).rlike("expediente t[eé]cnico|estudio definitivo"), "expediente").otherwise("obra")
+    return F.coalesce(declared, override, said)
+
+
+def days_verdict(days: Column, least: Column, provisional: Column) -> Column:
+    """Under the minimum: NO CUMPLE, or POR VERIFICAR while days are provisional or one of both is unknown."""
+    return F.when(days.isNull() | least.isNull() | F.coalesce(provisional, F.lit(False)), "POR VERIFICAR").when(days < least, "NO CUMPLE").otherwise("CUMPLE")

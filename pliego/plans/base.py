@@ -38,8 +38,13 @@ def job(sql: str | None = None):
 
 
 def own_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the session's spark.checkpoint.dir or, where that is unset (in tests), under a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pliego-")
+    """A new path under the session's spark.checkpoint.dir. Where it is unset: a temporary folder if all runs in one process (as in tests), else an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="pliego-")
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 

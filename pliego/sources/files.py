@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,7 +21,7 @@ def aliased(rows: DataFrame, aliases: dict[str, list[str]], required: set[str] =
     """
     present: dict[str, str] = {}
     for c in rows.columns:
-        present.setdefault(c.strip().lstrip("﻿").lower(), c)
+        present.setdefault(c.strip().lstrip("\ufeff").lower(), c)
     chosen = {name: next((present[a.lower()] for a in [name, *others] if a.lower() in present), None) for name, others in aliases.items()}
     absent = sorted(name for name in required if chosen.get(name) is None)
     if absent:
@@ -58,6 +60,14 @@ def json_documents(rows: DataFrame, column: str, schema: StructType, required: l
     return read.withColumns({"errors": errors, "document": F.col("document").dropFields("_corrupt")})
 
 
+def contract_errors(document: Column, enums: dict[str, list[str]], ranges: dict[str, tuple[float, float]], most: int = 30) -> Column:
+    """The first `most` faults of a parsed document, as `$.path: reason`: values outside a list, numbers outside a range. Nulls are no faults."""
+    field = lambda path: reduce(Column.getField, path.split("."), document)
+    rules = [F.when(~field(p).isin(*values), F.lit(f"$.{p}: not in list")) for p, values in enums.items()]
+    rules += [F.when(~field(p).between(low, high), F.lit(f"$.{p}: out of range")) for p, (low, high) in ranges.items()]
+    return F.slice(F.array_compact(F.array(*rules)), 1, most)
+
+
 def tri_state(answers: Column, failed: Column) -> Column:
     """no_answer if the source failed or gave null, none if it gave an empty list, found otherwise."""
     return F.when(failed | answers.isNull(), "no_answer").when(F.size(answers) == 0, "none").otherwise("found")

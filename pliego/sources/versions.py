@@ -1,23 +1,30 @@
 """Versioned datasets: a load is written beside the others and becomes visible by one row of a manifest.
 
-Readers take the newest published version. The manifest is a Parquet folder that only grows, so the
-switch is the commit of one small file, and a failed load leaves the former version active.
+Readers take the newest published version, or the one that was pinned last. The manifest is a Parquet folder
+that only grows, so the switch is the commit of one small file. Each run writes to a folder of its own, which the
+manifest names, so a failed load leaves all that was published as it was, even if it has the id of a former one.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "load_id string, status string, n_rows long, detail string, at timestamp"
+MANIFEST = "load_id string, status string, n_rows long, detail string, path string, at timestamp"
 
 
 class CountMismatch(ValueError):
     """A load whose written rows aren't those expected."""
 
 
-def _note(spark: SparkSession, root: str, load_id: str, status: str, n_rows: int | None, detail: str | None) -> None:
-    row = spark.createDataFrame([(load_id, status, n_rows, detail)], "load_id string, status string, n_rows long, detail string")
+class GateClosed(ValueError):
+    """A load that is too small, or too much smaller than the one before."""
+
+
+def _note(spark: SparkSession, root: str, load_id: str, status: str, n_rows: int | None, detail: str | None, path: str | None = None) -> None:
+    row = spark.createDataFrame([(load_id, status, n_rows, detail, path)], "load_id string, status string, n_rows long, detail string, path string")
     row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
 
 
@@ -26,47 +33,87 @@ def publish(rows: DataFrame, root: str, load_id: str, expected: int | None = Non
 
     The count must be `expected` and, with `keys`, no key may be null or come twice. If not, or if writing
     fails, the run is logged as failed, CountMismatch (or the failure) is raised and nothing changes for readers.
+    An id that is published already may be given again: its new run takes its place once it has passed.
     """
     spark = rows.sparkSession
-    path = f"{root}/load_id={load_id}"
+    path = f"{root}/load_id={load_id}/run={uuid.uuid4().hex}"
     try:
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.parquet(path)
         made = spark.read.parquet(path)
-        n = made.count()
+        if keys:  # one pass: rows, keys that come twice, keys that are null
+            per_key = made.groupBy(*keys).agg(F.count("*").alias("n"))
+            null = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+            n, wrong = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if((F.col("n") > 1) | null)).first()
+        else:
+            n, wrong = made.count(), 0
         if expected is not None and n != expected:
             raise CountMismatch(f"{n} rows written, {expected} expected")
-        if keys:
-            wrong = made.groupBy(*keys).count().where((F.col("count") > 1) | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)))
-            if wrong.limit(1).count():
-                raise CountMismatch("a key is null or comes twice")
+        if wrong:
+            raise CountMismatch("a key is null or comes twice")
     except Exception as failure:
-        _note(spark, root, load_id, "failed", None, str(failure)[:500])
+        _note(spark, root, load_id, "failed", None, str(failure)[:500], path)
         raise
-    _note(spark, root, load_id, "published", n, None)
+    _note(spark, root, load_id, "published", n, None, path)
     return n
 
 
+def pin(spark: SparkSession, root: str, load_id: str) -> None:
+    """Make a published version the active one, until another is published or pinned."""
+    found = log(spark, root).where((F.col("load_id") == load_id) & (F.col("status") == "published")).agg(F.max_by(F.struct("n_rows", "path"), "at").alias("m")).first().m
+    if found is None:
+        raise FileNotFoundError(f"{load_id} was never published in {root}")
+    _note(spark, root, load_id, "published", found.n_rows, "pinned", found.path)
+
+
+def volume_gate(sources: DataFrame, source: str, whole: int = 400_000, each: int = 50_000, expected: list[str] | None = None) -> DataFrame:
+    """Rows of each source: (source, n). Raises GateClosed if all are under `whole` or one (or an absent one of `expected`) is under `each`."""
+    counts = sources.groupBy(source).agg(F.count("*").alias("n"))
+    found = {r[0]: r.n for r in counts.limit(1000).collect()}
+    small = sorted(str(k) for k in {*found, *(expected or [])} if found.get(k, 0) < each)
+    if small or sum(found.values()) < whole:
+        raise GateClosed(f"{sum(found.values())} rows; too few of: {', '.join(small) or 'all'}")
+    return counts
+
+
+def drift_gate(before: int, after: int, fall: float = 0.25, rise: float = 0.5) -> str:
+    """ok or warn; raises GateClosed if rows fell by over `fall` of those before."""
+    if before and after < before * (1 - fall):
+        raise GateClosed(f"{after} rows after {before}")
+    return "warn" if before and after > before * (1 + rise) else "ok"
+
+
+def header_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Columns that came and went: (column, change), in order of name."""
+    rows = [(c, "new") for c in sorted(set(after.columns) - set(before.columns))] + [(c, "removed") for c in sorted(set(before.columns) - set(after.columns))]
+    return after.sparkSession.createDataFrame(rows, "column string, change string")
+
+
 def log(spark: SparkSession, root: str) -> DataFrame:
     """All runs, failed ones included."""
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
 
+def _newest(spark: SparkSession, root: str):
+    return log(spark, root).where("status = 'published'").agg(F.max_by(F.struct("load_id", "path"), F.struct("at", "load_id")).alias("m")).first().m
+
+
 def active(spark: SparkSession, root: str) -> str | None:
-    """The newest published version (of two at one time the greater id), None before the first."""
-    return log(spark, root).where("status = 'published'").agg(F.max_by("load_id", F.struct("at", "load_id"))).first()[0]
+    """The version published or pinned last (of two at one time the greater id), None before the first."""
+    found = _newest(spark, root)
+    return found.load_id if found else None
 
 
 def resolve(spark: SparkSession, root: str, legacy: str | None = None) -> DataFrame:
     """The active version's rows, or those of a folder from before versions if there is none."""
     try:
-        found = active(spark, root)
+        found = _newest(spark, root)
     except Exception as failure:
         if legacy is None or "PATH_NOT_FOUND" not in str(failure):
             raise
         found = None
     if found is None and legacy is None:
         raise FileNotFoundError(f"no published version in {root}")
-    return spark.read.parquet(f"{root}/load_id={found}" if found is not None else legacy)
+    return spark.read.parquet(found.path if found is not None else legacy)
 
 
 def expired(spark: SparkSession, root: str, keep: int) -> DataFrame:
@@ -76,6 +123,15 @@ def expired(spark: SparkSession, root: str, keep: int) -> DataFrame:
     return last.join(newest.select("load_id"), "load_id", "left_anti").select("load_id")
 
 
+def purge(spark: SparkSession, root: str, keep: int) -> list[str]:
+    """Delete the folders of all `expired` versions and say which; the manifest keeps their runs."""
+    gone = sorted(r.load_id for r in expired(spark, root, keep).limit(10_000).collect())
+    for load_id in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/load_id={load_id}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def freshness(spark: SparkSession, root: str, days: int) -> DataFrame:
     """One row: missing (no version), refresh_failed (the last run failed), stale (older than `days`) or ok."""
     runs = log(spark, root).agg(

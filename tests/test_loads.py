@@ -50,6 +50,43 @@ def test_versions(spark, tmp_path):
         versions.publish(spark.createDataFrame([(None,)], "id long"), root, "n", keys=["id"])
 
 
+def test_a_failed_load_leaves_a_published_id_as_it_was(spark, tmp_path):
+    root = f"file://{tmp_path}/v"
+    versions.publish(spark.range(5), root, "1", 5)
+    with pytest.raises(versions.CountMismatch):
+        versions.publish(spark.range(7), root, "1", 8)
+    assert versions.resolve(spark, root).count() == 5
+    versions.publish(spark.range(7), root, "1", 7)
+    versions.publish(spark.range(2), root, "2", 2)
+    versions.publish(spark.range(1), root, "3", 1)
+    assert versions.resolve(spark, root).count() == 1
+    versions.pin(spark, root, "1")
+    assert (versions.active(spark, root), versions.resolve(spark, root).count()) == ("1", 7)
+    assert versions.purge(spark, root, 2) == ["2"] and not (tmp_path / "v/load_id=2").exists()
+    assert versions.resolve(spark, root).count() == 7
+    with pytest.raises(FileNotFoundError):
+        versions.pin(spark, root, "4")
+
+
+def test_gates(spark):
+    rows = spark.range(60).selectExpr("if(id < 40, 'a', 'b') source", "id", "1 old")
+    assert sorted(map(tuple, versions.volume_gate(rows, "source", 60, 20).collect())) == [("a", 40), ("b", 20)]
+    for whole, each, expected in ((61, 20, None), (60, 21, None), (60, 20, ["c"])):
+        with pytest.raises(versions.GateClosed):
+            versions.volume_gate(rows, "source", whole, each, expected)
+    assert [versions.drift_gate(100, n) for n in (75, 150, 151)] == ["ok", "ok", "warn"]
+    with pytest.raises(versions.GateClosed):
+        versions.drift_gate(100, 74)
+    changes = versions.header_changes(rows, rows.drop("old").withColumn("fresh", F.lit(1)))
+    assert sorted(map(tuple, changes.collect())) == [("fresh", "new"), ("old", "removed")]
+
+
+def test_contract_rules(spark):
+    rows = spark.createDataFrame([(("A", (5,)),), (("X", (50,)),), ((None, (None,)),)], "d struct<k: string, n: struct<v: int>>")
+    found = rows.select(files.contract_errors(F.col("d"), {"k": ["A", "B"]}, {"n.v": (0, 10)}).alias("e"), files.contract_errors(F.col("d"), {"k": ["A"]}, {"n.v": (0, 10)}, 1).alias("one"))
+    assert [(r.e, r.one) for r in found.collect()] == [([], []), (["$.k: not in list", "$.n.v: out of range"], ["$.k: not in list"]), ([], [])]
+
+
 def test_stream_resumes_and_upserts(spark, tmp_path):
     path, folder = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
     at = lambda h: dt.datetime(2024, 1, 1, h)

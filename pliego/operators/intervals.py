@@ -75,28 +75,53 @@ def sessions(rows: DataFrame, keys: list[str], order: list[str], active) -> Data
     return runs.where("on").groupBy(*keys, "run").agg(F.count("*").alias("n"), F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_at"))
 
 
+def _bucketed(periods: DataFrame) -> DataFrame:
+    """Periods once for each quarter that they touch."""
+    quarters = F.sequence(F.trunc("start", "quarter"), F.trunc("end", "quarter"), F.expr("interval 3 months"))
+    return valid(periods).withColumn("bucket", F.explode(quarters))
+
+
+def _overlaps(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """Pairs of periods (s1, e1) and (s2, e2) of one key that share a day, each once, with shared_days.
+
+    A range join by buckets: only periods of one quarter meet, and a pair counts in the quarter in which it first
+    shares a day. So a key with many periods isn't compared as a whole.
+    """
+    left, right = _bucketed(one).withColumnsRenamed({"start": "s1", "end": "e1"}), _bucketed(two).withColumnsRenamed({"start": "s2", "end": "e2"})
+    pairs = left.join(right, [key, "bucket"]).where("s2 <= e1 and s1 <= e2").where(F.trunc(F.greatest("s1", "s2"), "quarter") == F.col("bucket"))
+    return pairs.withColumn("shared_days", overlap_days(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")).cast("long")).drop("bucket")
+
+
 def overlapping_pairs(periods: DataFrame, key: str, id_: str) -> DataFrame:
     """Pairs of periods of one key that share a day: (key, a, b, shared_days), a < b."""
-    one = valid(periods).select(key, F.col(id_).alias("a"), F.col("start").alias("s1"), F.col("end").alias("e1"))
-    two = valid(periods).select(key, F.col(id_).alias("b"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-    shared = overlap_days(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))
-    return one.join(two, key).where("a < b and s2 <= e1 and s1 <= e2").select(key, "a", "b", shared.cast("long").alias("shared_days"))
+    one, two = (periods.select(key, F.col(id_).alias(name), "start", "end") for name in ("a", "b"))
+    return _overlaps(one, two, key).where("a < b").select(key, "a", "b", "shared_days")
 
 
 def best_match(left: DataFrame, right: DataFrame, key: str, id_: str) -> DataFrame:
     """For each left period the right period of its key with most shared days, else the one with the nearest start.
 
-    Ties: the later end, then the smaller id. (id, match, tier, shared_days); tier is overlap or nearest.
+    Ties: the later end, then the smaller id. (id, match, tier, shared_days); tier is overlap or nearest. The nearest start
+    is one of the two next to it in a window over the key's starts; it is never the period's own, as what starts on
+    its first day overlaps it.
     """
-    a = valid(left).select(key, F.col(id_).alias("id"), F.col("start").alias("s1"), F.col("end").alias("e1"))
-    b = valid(right).select(key, F.col(id_).alias("match"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-    shared = overlap_days(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))
-    pairs = a.join(b, key).where("id <> match").withColumn("shared_days", shared.cast("long"))
-    rank = F.struct(
-        F.when(F.col("shared_days") > 0, F.col("shared_days")).otherwise(-F.abs(F.datediff("s1", "s2")) - 1).alias("score"), F.when(F.col("shared_days") > 0, F.col("e2")).alias("late"), (-F.col("match")).alias("low")
+    a = valid(left).select(key, F.col(id_).alias("id"), "start", "end")
+    b = valid(right).select(key, F.col(id_).alias("match"), "start", "end")
+    pairs = _overlaps(a, b, key).where("id <> match")
+    rank = F.struct("shared_days", "e2", (-F.col("match")).alias("low"))
+    best = pairs.groupBy("id").agg(F.max_by(F.struct("match", "shared_days"), rank).alias("m")).select("id", "m.match", F.lit("overlap").alias("tier"), "m.shared_days")
+    alone = a.join(best.select("id"), "id", "left_anti").select(key, "id", "start", F.lit(None).cast("long").alias("match"))
+    starts = b.groupBy(key, "start").agg(F.min("match").alias("match")).select(key, F.lit(None).cast("long").alias("id"), "start", F.col("match").cast("long"))
+    day = F.datediff("start", F.lit("1970-01-01").cast("date"))
+    w = Window.partitionBy(key).orderBy(day)
+    other = F.when(F.col("match").isNotNull(), F.struct("start", "match"))
+    near = alone.unionByName(starts).withColumns(
+        {"before": F.last(other, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -1)), "after": F.first(other, ignorenulls=True).over(w.rangeBetween(1, Window.unboundedFollowing))}
     )
-    best = pairs.groupBy("id").agg(F.max_by(F.struct("match", "shared_days"), rank).alias("m"))
-    return best.select("id", "m.match", F.when(F.col("m.shared_days") > 0, "overlap").otherwise("nearest").alias("tier"), "m.shared_days")
+    gap = lambda c: F.struct(F.abs(F.datediff("start", f"{c}.start")).alias("far"), F.col(f"{c}.match").alias("match"))
+    nearest = F.array_min(F.array_compact(F.array(F.when(F.col("before").isNotNull(), gap("before")), F.when(F.col("after").isNotNull(), gap("after")))))
+    rest = near.where("id is not null").withColumn("m", nearest).where("m is not null").select("id", "m.match", F.lit("nearest").alias("tier"), F.lit(0).cast("long").alias("shared_days"))
+    return best.unionByName(rest)
 
 
 def bucket_overlaps(periods: DataFrame, key: str, unit: str = "quarter") -> DataFrame:

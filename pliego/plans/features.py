@@ -152,3 +152,35 @@ select o_orderkey, replace(case when length(w) <= 40 then w when substr(w, 41, 1
 def file_names(t):
     """File names from names of works, cut at a word's end."""
     return _named(t).select("o_orderkey", names.slug(F.col("name"), 40).alias("slug"))
+
+
+HELD = ("Supervisor de Obra", "Especialista en Costos", "Ingeniero ambiental", "Jefe", "Residente de planeamiento y costos", "Arquitecta")
+ASKED = ("Especialista en Supervisión", "Responsable de Costos y Presupuestos; Planificación", "Especialista ambiental / Residente", "Encargado de obra")
+# the terms of each, as the rules give them
+HELD_TERMS = (["SUPERVISOR"], ["COSTO"], ["AMBIENTAL"], [], ["RESIDENTE", "PLANEAMIENTO", "COSTO"], [])
+ASKED_TERMS = ([["SUPERVISION"]], [["COSTO", "PRESUPUESTO"], ["PLANEAMIENTO"]], [["AMBIENTAL"], ["RESIDENTE"]], [])
+_FAMILY = "(a = b or (length(a) >= 7 and length(b) >= 7 and a[:6] = b[:6]))"
+
+
+@query(f"""with c as (select c_custkey, {list(HELD_TERMS)}[c_custkey % 6 + 1]::varchar[] held, {list(ASKED_TERMS)}[c_custkey // 6 % 4 + 1]::varchar[][] asked from customer),
+l as (select c_custkey, held, asked, [[a for a in alt if len([b for b in held if {_FAMILY}]) = 0] for alt in asked] lacks from c),
+n as (select *, [len(lacks[k]) * 100 - (len(asked[k]) - len(lacks[k])) for k in range(1, len(asked) + 1)] rate from l)
+select c_custkey, array_to_string(case when len(held) = 0 or len(asked) = 0 then [] else lacks[list_position(rate, list_min(rate))] end, ',') missing from n""")
+def position_cores(t):
+    """What each held position lacks of the nearest alternative that a requirement names."""
+    k = F.col("c_custkey")
+    rows = t("customer").select("c_custkey", names.position_terms(_pick(HELD, k)).alias("held"), names.alternatives(_pick(ASKED, F.expr("c_custkey div 6"))).alias("asked"))
+    return rows.select("c_custkey", F.array_join(names.missing_terms(F.col("held"), F.col("asked")), ",").alias("missing"))
+
+
+CLIENTS = ("Clínica San Juan", "Colegio particular", "Municipalidad y clínica", "Ingeniería clínica", "Obra privada", "Hospital Regional privado", "Casa", "I.E.P. Sol", "Policlínico de EsSalud")
+OWNERS = ("Sr. Juan Pérez", "Gobierno Regional", None, "Donación SAC", "Don Luis")
+
+
+@query(f"""with c as (select c_custkey, lower(strip_accents({_listed(CLIENTS)}[c_custkey % 9 + 1] || ' ' || coalesce({_listed(OWNERS)}[c_custkey // 9 % 5 + 1], ''))) x, lower({_listed(OWNERS)}[c_custkey // 9 % 5 + 1]) o from customer)
+select c_custkey, not regexp_matches(x, 'essalud|municipalidad|gobierno regional|hospital regional') and (regexp_matches(x, 'colegio particular|obra privada|i\\.e\\.p\\.') or regexp_matches(replace(x, 'ingenieria clinica', ''), '\\b(poli)?clinic') or coalesce(regexp_matches(o, '^(sr|don)\\.? [a-z]'), false)) private from c""")
+def private_clients(t):
+    """Works of private clients; a public name beats every other sign."""
+    k = F.col("c_custkey")
+    owner = _pick(OWNERS, F.expr("c_custkey div 9"))
+    return t("customer").select("c_custkey", names.private_client(F.concat_ws(" ", _pick(CLIENTS, k), owner), owner).alias("private"))

@@ -4,16 +4,21 @@ A line's set is its distinct words (A-Z as a-z). Words are put in order of rarit
 size that counts all words by hash bucket. Two sets with similarity t share a word among the first
 n - ceil(t * n) + 1 of each, so lines meet in the lists of those words only. In a list, pairs must pass
 the length filter, the positional filter (words left after the shared one must suffice) and a bound by
-128-bit parities of the sets; then Jaccard is verified on full sets. Lines with equal sets form a class,
+parities of the sets (bits that words flip, so they differ in fewer places than the sets); then Jaccard is verified on full sets. Lines with equal sets form a class,
 of which only one enters a list. Sets so small that one word more or less is too much (up to three words
 at 80 per cent) match equal sets only, so they enter none.
 
 A line needs just one earlier match to go. So a list gives each line its `NEAREST` candidates by parity;
-only lines for which none of them is verified, and which had more, get all the others in a second round.
+only lines for which none of them is verified, and which had more, get the next ones, `GROWTH` times as
+many, and so on until no line is left: however large a family of lines, no round gives out all its pairs.
+
+A list with over LIST entries is dealt out: by steps of size, of which only neighbours can match, and
+each such part as pairs of blocks, so no task holds a whole list.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pliego.llm import words as W
-from pliego.llm.common import cut, written
+from pliego.llm.common import cut, removed, written
 from pliego.llm.tables import fixed_table, narrowed
 
-BUCKET_BITS, NEAREST = 16, 16
+BUCKET_BITS, NEAREST, GROWTH, LIST = 16, 4, 1024, 50_000
+#: Lines with over LONG words have parities of 256 bits, others of 128: random sets must be further apart than similar ones may be.
+LONG = 128
 #: Pairs of a list that are held at a time.
 PAIRS = 200_000
 
@@ -78,11 +85,14 @@ class Lines:
             padded = np.append(hashed, np.uint64(0))
             self.key = W.mix(np.add.reduceat(W.mix(padded), pairs)[::2] + size.astype(np.uint64))
             bit = W.mix(padded)
-            one, high = np.uint64(1) << (bit >> np.uint64(58)), (bit >> np.uint64(57)) & np.uint64(1) == 1
-            self.parity = [np.bitwise_xor.reduceat(np.where(half, one, np.uint64(0)), pairs)[::2] for half in (high, ~high)]
+            one, part = np.uint64(1) << (bit >> np.uint64(58)), (bit >> np.uint64(56)) & np.uint64(3)
+            quarters = [np.bitwise_xor.reduceat(np.where(part == i, one, np.uint64(0)), pairs)[::2] for i in range(4)]
+            long = np.where(size > LONG, ~np.uint64(0), np.uint64(0))
+            # halves of 128 bits, and what is in the upper two quarters of 256
+            self.parity = [quarters[0] ^ quarters[2], quarters[1] ^ quarters[3], quarters[2] & long, quarters[3] & long]
         else:
             self.key = np.zeros(0, np.uint64)
-            self.parity = [self.key, self.key]
+            self.parity = [self.key] * 4
 
     def words(self, chosen: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The first `counts` words of chosen lines: the places in `chosen`, the places in the line, the words."""
@@ -91,7 +101,8 @@ class Lines:
         return own, at, self.hashed[self.head[chosen][own] + at]
 
 
-LINE = "doc_id long, line int, class long, n int, parity long, parity2 long, words array<int>"
+PARITIES = ("parity", "parity2", "parity3", "parity4")
+LINE = "doc_id long, line int, class long, n int, parity long, parity2 long, parity3 long, parity4 long, words array<int>"
 
 
 def compared(docs: DataFrame, level: np.ndarray, least: int, percent: int) -> DataFrame:
@@ -115,37 +126,68 @@ def compared(docs: DataFrame, level: np.ndarray, least: int, percent: int) -> Da
             word = (word & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(word))
             columns = [pa.array(doc), pa.array(x.line, pa.int32()), pa.array(W.signed(x.key)), pa.array(x.size, pa.int32()), *(pa.array(W.signed(p)) for p in x.parity), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "class", "n", "parity", "parity2", "words"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "class", "n", *PARITIES, "words"])
 
     return docs.mapInArrow(work, LINE)
 
 
 def entries(lines: DataFrame) -> DataFrame:
     """Lines under each of their words, with the word's place."""
-    return lines.select(F.posexplode("words").alias("at", "word"), "doc_id", "line", "class", "n", "parity", "parity2")
+    return lines.select(F.posexplode("words").alias("at", "word"), "doc_id", "line", "class", "n", *PARITIES)
+
+
+def dealt(lines: DataFrame, percent: int) -> DataFrame:
+    """`entries`, each in the lists in which it is compared: that of its word, or if that is over LIST parts of it.
+
+    Any two entries of a word whose sizes are within `percent` of each other meet in one of its parts.
+    """
+    listed = entries(lines)
+    hot = cut(listed.groupBy("word").agg(F.count("*").alias("m")).where(F.col("m") > LIST).select("word"))
+    whole = listed.withColumn("list", F.col("word").cast("long"))
+    if not hot.limit(1).count():
+        return whole
+    step = F.floor(F.ln("n") / math.log(100.1 / percent)).cast("int")
+    stepped = listed.join(hot, "word", "left_semi").withColumn("step", F.explode(F.array(step, step - 1)))
+    blocks = stepped.groupBy("word", "step").agg(F.ceil(F.count("*") / LIST).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("class"), "blocks").cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
+    parts = stepped.join(blocks, ["word", "step"]).withColumn("pair", F.explode(pairs)).withColumn("list", F.xxhash64("word", "step", "pair"))
+    return whole.join(hot, "word", "left_anti").unionByName(parts.drop("step", "blocks", "pair"))
 
 
-CANDIDATE = "later long, earlier long, more boolean"
+CANDIDATE = "later long, earlier long, more boolean, later_doc long, earlier_doc long"
 
 
-def candidates(listed: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """Pairs of classes that pass the filters: for each line of a list the `nearest` earlier ones (None: all)."""
-    ordered = listed.repartition("word").sortWithinPartitions("word")
+def candidates(listed: DataFrame, percent: int, skip: int, upto: int) -> DataFrame:
+    """Pairs of classes that pass the filters: for each line of a list its nearest earlier ones, from number `skip` up to `upto`.
 
-    def passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, left: np.ndarray, parity: np.ndarray, parity2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    `more`: the list has others beyond. Where `listed` has a column `open`, only lines with it get any. Each class has
+    the doc_id of its first line, since that is in all of its lists.
+    """
+    if "open" not in listed.columns:
+        listed = listed.withColumn("open", F.lit(True))
+    ordered = listed.drop("word").repartition("list").sortWithinPartitions("list")
+
+    def passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, left: np.ndarray, parity: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs left by the positional and parity filters, cheapest first, and how far parities are apart."""
         both = n[i] + n[j]
         need = -(-percent * both // (100 + percent))
         enough = np.minimum(left[i], left[j]) >= need
         i, j, spare = i[enough], j[enough], (both - 2 * need)[enough]
-        apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int32) + np.bitwise_count(parity2[i] ^ parity2[j])
+        one, two, three, four = (p[i] ^ p[j] for p in parity)
+        apart = np.bitwise_count(one).astype(np.int32) + np.bitwise_count(two)
+        close = apart <= spare
+        i, j, spare, apart = i[close], j[close], spare[close], apart[close]
+        both = (n[i] > LONG) & (n[j] > LONG)
+        one, two, three, four = (x[close][both] for x in (one, two, three, four))
+        apart[both] = sum(np.bitwise_count(x).astype(np.int32) for x in (one ^ three, two ^ four, three, four))
         close = apart <= spare
         return i[close], j[close], apart[close]
 
-    def one_piece(word, doc, line, cls, n, at, parity, parity2) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Candidates in whole lists, as classes (later, earlier) and whether the later one has more of them."""
+    def one_piece(word, doc, line, cls, n, at, wanted, *parity) -> Iterator[tuple[np.ndarray, ...]]:
+        """Candidates in whole lists, as CANDIDATE has them."""
         order = np.lexsort((cls, line, doc, word))
-        word, cls, n, at, parity, parity2 = (x[order] for x in (word, cls, n, at, parity, parity2))
+        word, doc, cls, n, at, wanted, *parity = (x[order] for x in (word, doc, cls, n, at, wanted, *parity))
         # of equal sets in a list the earliest stays
         order = np.lexsort((cls, word))
         again = order[1:][(word[order][1:] == word[order][:-1]) & (cls[order][1:] == cls[order][:-1])]
@@ -154,12 +196,12 @@ def candidates(listed: DataFrame, percent: int, nearest: int | None) -> DataFram
         rank = np.flatnonzero(keep)
         order = rank[np.lexsort((n[rank], word[rank]))]  # by size within a list, then by place
         rank = order
-        word, cls, n, at, parity, parity2 = (x[order] for x in (word, cls, n, at, parity, parity2))
+        word, doc, cls, n, at, wanted, *parity = (x[order] for x in (word, doc, cls, n, at, wanted, *parity))
         left = n - at
         # Length filter: an entry meets those before it down to percent of its size. The shorter set of a
         # pair must have its shared word so early that even a set of its own size would reach the overlap.
         able = np.flatnonzero(left >= -(-2 * percent * n // (100 + percent)))
-        lists = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]])).astype(np.int64) << 32
+        lists = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]])).astype(np.int64) << 32  # one number for each list
         low = np.searchsorted((lists + n)[able], lists - (-percent * n.astype(np.int64) // 100))
         counts = np.maximum(np.searchsorted(able, np.arange(len(word))) - low, 0)
         total = np.cumsum(counts)
@@ -167,12 +209,14 @@ def candidates(listed: DataFrame, percent: int, nearest: int | None) -> DataFram
         more = np.zeros(len(word), bool)
 
         def nearest_of(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            """Of all candidates so far each line's first `upto`, with their numbers."""
             later, earlier, apart = (np.concatenate(x) for x in zip(*held, strict=True))
             by = np.lexsort((rank[earlier], apart, later))
             later, earlier, apart = later[by], earlier[by], apart[by]
-            chosen = np.arange(len(later)) - np.searchsorted(later, later) < nearest
+            number = np.arange(len(later)) - np.searchsorted(later, later)
+            chosen = number < upto
             more[later[~chosen]] = True
-            return later[chosen], earlier[chosen], apart[chosen]
+            return later[chosen], earlier[chosen], apart[chosen], number[chosen]
 
         start = 0
         while start < len(word):
@@ -182,36 +226,35 @@ def candidates(listed: DataFrame, percent: int, nearest: int | None) -> DataFram
             j = np.repeat(np.arange(start, stop), some)
             i = able[np.arange(len(j)) + np.repeat(low[start:stop] - (total[start:stop] - done - some), some)]
             start = stop
-            i, j, apart = passing(i, j, n, left, parity, parity2)
+            i, j, apart = passing(i, j, n, left, parity)
             if not len(j):
                 continue
             first = rank[i] < rank[j]
             later, earlier = np.where(first, j, i), np.where(first, i, j)
-            if nearest is None:
-                yield cls[later], cls[earlier], np.zeros(len(later), bool)
-                continue
-            held.append((later, earlier, apart))
+            some = wanted[later]
+            held.append((later[some], earlier[some], apart[some]))
             if sum(len(x[0]) for x in held[1:]) > 5 * PAIRS:
-                held = [nearest_of(held)]
+                held = [nearest_of(held)[:3]]
         if held:
-            later, earlier, _ = nearest_of(held)
-            yield cls[later], cls[earlier], more[later]
+            later, earlier, _, number = nearest_of(held)
+            later, earlier = later[number >= skip], earlier[number >= skip]
+            yield cls[later], cls[earlier], more[later], doc[later], doc[earlier]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("word", "doc_id", "line", "class", "n", "at", "parity", "parity2")
+        names = ("list", "doc_id", "line", "class", "n", "at", "open", *PARITIES)
         rest: list[list[np.ndarray]] = []
 
         def made(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            columns[6], columns[7] = columns[6].view(np.uint64), columns[7].view(np.uint64)
-            for later, earlier, more in one_piece(*columns):
-                if len(later):
-                    yield pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier), pa.array(more)], names=["later", "earlier", "more"])
+            columns[7:] = [x.view(np.uint64) for x in columns[7:]]
+            for found in one_piece(*columns):
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=[c.split()[0] for c in CANDIDATE.split(", ")])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(c).to_numpy() for c in names]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             # the last list may go on in the next batch
             done = int(np.searchsorted(now[0], now[0][-1]))
             if done or (rest and rest[-1][0][-1] != now[0][0]):
@@ -222,12 +265,13 @@ def candidates(listed: DataFrame, percent: int, nearest: int | None) -> DataFram
             yield from made(rest)
 
     # one pair may come from several lists
-    return ordered.mapInArrow(work, CANDIDATE).groupBy("later", "earlier").agg(F.max("more").alias("more"))
+    return ordered.mapInArrow(work, CANDIDATE).groupBy("later", "earlier").agg(F.max("more").alias("more"), F.min("later_doc").alias("later_doc"), F.min("earlier_doc").alias("earlier_doc"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, least: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, least: int, percent: int) -> DataFrame:
     """Classes whose first line has an earlier match: (class)."""
-    needed = pairs.select(F.explode(F.array("later", "earlier")).alias("class")).distinct().join(firsts, "class").select("doc_id", "class")
+    side = lambda name: F.struct(F.col(f"{name}_doc").alias("doc_id"), F.col(name).alias("class"))
+    needed = pairs.select(F.explode(F.array(side("later"), side("earlier"))).alias("side")).select("side.*")
     per_doc = cut(needed.groupBy("doc_id").agg(F.collect_set("class").alias("classes")))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,17 +308,22 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     one number are at the same place: of different sets the one with the smaller hash counts as earlier.
     """
     seen = written(compared(docs, rarity(docs), least, percent))
-    firsts = cut(seen.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("m")).select("class", "m.*"))
-    listed = entries(seen)
-    pairs = cut(candidates(listed, percent, NEAREST))
-    gone = verified(docs, pairs, firsts, least, percent)
-    open_ = pairs.where("more").select(F.col("later").alias("class")).distinct().join(gone, "class", "left_anti")
-    open_ = cut(open_)
-    if open_.limit(1).count():
-        words = cut(listed.join(open_, "class", "left_semi").select("word").distinct())
-        rest = candidates(listed.join(words, "word", "left_semi"), percent, None)
-        rest = cut(rest.join(open_.withColumnRenamed("class", "later"), "later").join(pairs, ["later", "earlier"], "left_anti"))
-        gone = gone.unionByName(verified(docs, rest, firsts, least, percent)).distinct()
+    firsts = written(seen.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("m")).select("class", "m.*"))
+    listed = dealt(seen, percent)
+    skip, upto, gone = 0, NEAREST, None
+    pairs = written(candidates(listed, percent, skip, upto))
+    while True:
+        found = verified(docs, pairs, least, percent)
+        gone = found if gone is None else gone.unionByName(found)
+        left = cut(pairs.where("more").select(F.col("later").alias("class")).distinct().join(gone, "class", "left_anti"))
+        if not left.limit(1).count():
+            break
+        lists = listed.join(left, "class", "left_semi").select("list").distinct()
+        rest = listed.join(lists, "list", "left_semi").join(left.withColumn("open", F.lit(True)), "class", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        skip, upto = upto, GROWTH * upto
+        removed(pairs)
+        pairs = written(candidates(rest, percent, skip, upto))
+    removed(pairs)
     marks = firsts.join(gone.withColumn("gone", F.lit(True)), "class", "left").select("class", F.col("doc_id").alias("d"), F.col("line").alias("l"), F.coalesce("gone", F.lit(False)).alias("gone"))
     joined = seen.select("doc_id", "line", "class").join(marks, "class")
     return joined.where(F.col("gone") | (F.col("doc_id") != F.col("d")) | (F.col("line") != F.col("l"))).select("doc_id", "line", "class")

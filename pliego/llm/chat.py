@@ -3,9 +3,9 @@
 An event has the columns conv_id, seq, kind, turn, role and text. Kinds:
 
 * message: begins a turn with its text (what the turn held before is dropped);
-* delta: appends to the turn, as a streamed answer does;
-* edit: replaces the text of the turn, in place;
-* regenerate: as message, and all later turns that began before it fall away.
+* delta: appends to the turn, as a streamed answer does; begins it if it isn't there;
+* edit: replaces the text of the turn, in place; without effect on a turn that isn't there;
+* regenerate: as message, and all later turns, as they are then, fall away.
 
 A message is marked as
 
@@ -37,31 +37,36 @@ def unescape(text: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """The final messages (conv_id, turn, role, text) of event logs.
+    """The final messages (conv_id, turn, role, text) of event logs, as if events were taken one after another.
 
-    Events of one turn are taken in order of seq; where seqs tie, beginnings come before deltas, and
-    then texts decide. `turn` may have any type with an order, nulls first. A null text is empty, the
-    role is the last one given, a turn that has only deltas begins empty. Events of unknown kinds are
-    errors. A turn's events meet in one row; the events of a conversation don't, they only pass
-    through one sorted window, so a conversation may be of any length.
+    Events come in order of seq (null: 0); where seqs tie, deltas come last, and then texts, kinds and turns
+    decide. `turn` may have any type with an order, nulls first. A null text is empty, the role is the last
+    one given since the turn is there. Events of unknown kinds are errors. The events of one turn meet in one
+    row, as its text does; the turns of a conversation don't, they only pass through one sorted window, so a
+    conversation may be of any length.
     """
-    begins = F.col("kind") != "delta"
     known = F.when(F.col("kind").isin("message", "delta", "edit", "regenerate"), F.col("kind")).otherwise(
         F.raise_error(F.concat(F.lit("unknown kind of event: "), F.coalesce("kind", F.lit("null"))))
     )
     events = events.select("conv_id", "turn", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), known.alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    order = F.struct("seq", (~begins).alias("late"), "text", "kind")
+    place = F.struct("seq", (F.col("kind") == "delta").alias("late"), "text", "kind")
     turns = events.groupBy("conv_id", "turn").agg(
-        F.max(F.when(begins, order)).alias("start"),
-        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
-        F.max_by("role", F.when(F.col("role").isNotNull(), order)).alias("role"),
-        F.array_sort(F.collect_list(F.when(~begins, F.struct("seq", "text")))).alias("deltas"),
+        F.array_sort(F.collect_list(F.struct(place.alias("place"), "role"))).alias("log"),
+        F.max(F.when(F.col("kind") == "regenerate", place)).alias("again"),
     )
-    after = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    begun = F.coalesce("start.seq", F.element_at("deltas", 1)["seq"])
-    turns = turns.withColumn("cut", F.max("again").over(after)).where(F.col("cut").isNull() | (F.col("cut") <= begun))
-    pieces = F.transform(F.filter("deltas", lambda d: F.col("start").isNull() | (d["seq"] >= F.col("start.seq"))), lambda d: d["text"])
-    return turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.concat(F.coalesce("start.text", F.lit("")), F.array_join(pieces, "")).alias("text"))
+    before = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("cut", F.max("again").over(before))
+    # what an earlier turn's regeneration has dropped, and edits of what isn't there
+    log = F.filter("log", lambda e: F.col("cut").isNull() | (e["place"] >= F.col("cut")))
+    turns = turns.select("conv_id", "turn", log.alias("log"))
+    begins = F.array_position(F.transform("log", lambda e: e["place"]["kind"] != "edit"), True).cast("int")
+    turns = turns.withColumn("begins", begins).where("begins > 0").select("conv_id", "turn", F.slice("log", F.col("begins"), F.size("log") - F.col("begins") + 1).alias("log"))
+    # the last event that sets the text, and the deltas behind it
+    last = F.size("log") - F.array_position(F.reverse(F.transform("log", lambda e: e["place"]["kind"] != "delta")), True).cast("int") + 1
+    turns = turns.withColumn("last", F.when(F.exists("log", lambda e: e["place"]["kind"] != "delta"), last).otherwise(1))
+    pieces = F.transform(F.slice("log", F.col("last"), F.size("log") - F.col("last") + 1), lambda e: e["place"]["text"])
+    roles = F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull())
+    return turns.select("conv_id", "turn", F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), F.array_join(pieces, "").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ An edit goes down by character offsets to its first leaf. Pre-tokens are found a
 that ends far enough before the edit not to have seen it, until a border of a new pre-token meets a
 border of an old one behind the edit: from there on all pre-tokens are the old ones. Only those between
 are encoded again; the sums on the paths above the changed leaves are updated.
+
+Where a pre-token ends may hang on the blanks behind it, however many, and on CONTEXT characters from the
+first other one on, as in all patterns of this family; patterns that look behind or further ahead don't fit.
 """
 
 from __future__ import annotations
@@ -21,8 +24,13 @@ from pliego.llm.words import slices
 LEAF = 64
 #: Pre-tokens after which a worker's counts start anew.
 MEMO = 500_000
-#: Characters behind its end that may decide where a pre-token ends (one that it stops at, one that a lookahead reads).
-CONTEXT = 2
+#: Characters that may decide where a pre-token ends, from the first one behind its end that isn't blank.
+CONTEXT = 4
+
+
+def settled(text: str) -> int:
+    """The last place of a text up to which borders of pre-tokens stay, whatever is behind the text (-1: none)."""
+    return len(text[: max(0, len(text) - CONTEXT + 1)].rstrip()) - 1
 
 
 class TokenTree:
@@ -76,9 +84,12 @@ class TokenTree:
         stop = min(start + max(length, 0), total)
         first, before = self._find(max(0, start - CONTEXT))
         # the pre-tokens that can't have seen the edit stay
+        while (sure := settled("".join(self.leaves[first])[: max(0, start - before)])) < 0 and first:
+            first -= 1
+            before -= self.chars[self.width + first]
         kept, at = 0, before
         leaf = self.leaves[first]
-        while kept < len(leaf) and at + len(leaf[kept]) + CONTEXT <= start:
+        while kept < len(leaf) and at + len(leaf[kept]) <= before + sure:
             at += len(leaf[kept])
             kept += 1
         old = leaf[kept:]
@@ -98,8 +109,9 @@ class TokenTree:
                 place += len(piece)
             new, place, meets = [], at, len(old)
             final = last + 1 == len(self.leaves)
+            sure = len(text) if final else settled(text)
             for piece in self.split(text):
-                if place in borders and (final or place + CONTEXT <= end + shift):
+                if place in borders and place - at <= sure:
                     meets = borders[place]
                     break
                 new.append(piece)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,18 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _free(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: Spark then drops the shuffle files of steps that nothing refers to any more.
 
-
-@contextmanager
-def _freeing(spark: SparkSession) -> Iterator[None]:
-    """Steps run inside give up their shuffle files when they end; else those stay until the driver's next collection of garbage."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    Else they stay until the driver's heap is full. Files that a running stage still reads are referred to, so they stay.
+    """
+    spark.sparkContext._jvm.System.gc()
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -51,16 +43,17 @@ def cut(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    with _freeing(spark):
-        return frame.select("*").checkpoint()
+    made = frame.select("*").checkpoint()
+    _free(spark)
+    return made
 
 
 def written(frame: DataFrame) -> DataFrame:
     """As `cut`, but as compressed columns: for larger tables of which later steps read a few columns."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    with _freeing(spark):
-        frame.select("*").write.parquet(path)
+    frame.select("*").write.parquet(path)
+    _free(spark)
     return spark.read.parquet(path)
 
 

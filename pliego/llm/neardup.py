@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pliego.llm import words as W
-from pliego.llm.common import components, cut
+from pliego.llm.common import components, cut, written
 from pliego.llm.tables import fixed_table, narrowed
 
 SKETCH, BLOCK, TABLE_BITS = 64, 1024, 16
@@ -303,8 +303,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def _marked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """near_duplicates with each text's mark."""
-    sketched = sketch(docs, width)
-    rows = cut(sketched.drop("sketch"))
+    sketched = written(sketch(docs, width))
+    rows = sketched.drop("sketch")
     classes = cut(sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     groups = components(link(docs, classes, width, percent))
     named = classes.select("key", "doc_id").join(groups.withColumnRenamed("node", "key"), "key")

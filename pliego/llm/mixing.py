@@ -18,6 +18,8 @@ from pliego.llm.common import cut, word_count
 
 #: Bits that each look at the histogram adds, and the number of looks: 60 bits in all.
 BITS, LOOKS = 12, 5
+#: Sources whose rows are broadcast at most, and parts into which documents of each are dealt otherwise.
+SMALL, SALTS = 50_000, 64
 
 
 def place(key: Column) -> Column:
@@ -58,7 +60,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     docs = sized.select(_key(F.col("source")).alias("key"), "place", "size")
     for look in range(1, LOOKS + 1):
         shift = BITS * (LOOKS - look)
-        held = docs.join(state.select("key", "edge"), "key").where(F.shiftright("place", shift + BITS) == F.col("edge"))
+        held = per_document(docs, state.select("key", "edge")).where(F.shiftright("place", shift + BITS) == F.col("edge"))
         sums = held.groupBy("key", F.shiftright("place", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("key").orderBy("bucket")))
         passed = sums.join(state.select("key", "budget"), "key").where(F.col("upto") > F.col("budget"))
@@ -73,6 +75,19 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("key", "copies", F.when(F.col("edge") < 0, 0).otherwise(below).cast("long").alias("below"))
 
 
+def per_document(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Each document with its source's row, by `key`, so that no source's documents meet in one task.
+
+    A table of sources is broadcast if it has SMALL rows at most, with keys of 64 bytes each on average; a larger
+    one is joined, with its rows once for each of SALTS parts into which documents are dealt.
+    """
+    rows, size = sources.agg(F.count("*"), F.sum(F.octet_length("key").cast("long"))).first()
+    if rows <= SMALL and (size or 0) <= 64 * SMALL:
+        return docs.join(F.broadcast(sources), "key")
+    salted = docs.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)))
+    return salted.join(sources.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["key", "salt"]).drop("salt")
+
+
 def _key(source: Column) -> Column:
     """A source's name as a join key that also stands for null."""
     return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), source.cast("string")))
@@ -88,11 +103,11 @@ def plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5
     sized = cut(docs.select("doc_id", "source", place(F.col("doc_id")).alias("place"), word_count(F.col("text")).alias("size")))
     goals = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     limits = thresholds(sized, goals)
-    per_source = goals.select(_key(F.col("source")).alias("key"), "source_size", "target").join(limits, "key")
+    per_source = cut(goals.select(_key(F.col("source")).alias("key"), "source_size", "target").join(limits, "key"))
     taken = F.col("copies") + F.when(F.col("place") < F.col("below"), 1).otherwise(0)
     return (
         sized.withColumn("key", _key(F.col("source")))
-        .join(per_source, "key")
+        .transform(per_document, per_source)
         .select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("copies"))
     )
 
@@ -105,5 +120,5 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     rows = row.withColumn("key", _key(F.col("row.source"))).withColumn("place", place(F.col("row.doc_id")))
     taken = F.col("copies") + F.when(F.col("place") < F.col("below"), 1).otherwise(0)
     worded = F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = rows.join(thresholds(sized, goals), "key").where(worded).withColumn("taken", taken.cast("int")).where("taken > 0")
+    kept = per_document(rows, thresholds(sized, goals)).where(worded).withColumn("taken", taken.cast("int")).where("taken > 0")
     return kept.select(F.explode(F.array_repeat("row", F.col("taken"))).alias("row")).select("row.*")

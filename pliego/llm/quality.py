@@ -3,8 +3,9 @@
 Each document is measured in one pass over its bytes. The measures go into quantile sketches per
 language and source: a sketch counts values in buckets whose bounds grow by a constant factor (as in
 DDSketch), so it has a bounded number of counters, a relative error of one per cent at any rank, and
-two sketches merge by adding counters. Merging doesn't depend on order, so reruns agree. Groups with
-few documents use the merged sketch of their language, or of everything. A document stays if it
+two sketches merge by adding counters. Merging doesn't depend on order, so reruns agree. To each group's
+sketch that of its language is added, scaled to the weight of PRIOR documents, and to that of a language
+the one of everything: the fewer documents a group has, the more it follows its parent. A document stays if it
 passes the fixed base rules and if each rate lies within the fences of its group: a tail quantile, and
 beyond it a multiple of its distance from the median.
 """
@@ -22,8 +23,8 @@ from pliego.llm import words as W
 
 #: Growth of the sketch's bucket bounds: one per cent to either side of a bucket's middle.
 GROWTH = 1.02
-#: Documents that a group needs for thresholds of its own.
-LEAST = 200
+#: Documents as which a parent's sketch counts in that of a group.
+PRIOR = 50
 #: Of each rate: the tail quantile that its fences start from, and how many times its distance from the
 #: median they lie beyond it. Up to a share of 1 - tail, junk in a group doesn't move its upper fence.
 #: Few documents repeat lines at all, so that rate's tail lies far out.
@@ -112,30 +113,41 @@ def _of_rate(values: dict[str, float], rate: str) -> Column:
     return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))]), F.col(rate))
 
 
+def pooled(sketch: DataFrame, parent: DataFrame, by: list[str], up: list[str]) -> DataFrame:
+    """The sketches merged by `by`, each with its parent's (merged by `up`) as PRIOR documents: (*by, rate, bucket, n)."""
+    own = sketch.groupBy(*by, "rate", "bucket").agg(F.sum("n").cast("double").alias("n"))
+    scale = parent.groupBy(*up, "rate").agg((PRIOR / F.sum("n")).alias("scale"))
+    named = lambda frame: frame.select(*[F.col(c).alias(f"up_{c}") for c in [*up, "rate"]], *[c for c in frame.columns if c not in [*up, "rate"]])
+    same = lambda: [F.col(c).eqNullSafe(F.col(f"up_{c}")) for c in [*up, "rate"]]
+    groups = own.select(*by, "rate").distinct().join(named(scale), same()).drop(*[f"up_{c}" for c in [*up, "rate"]])
+    prior = groups.join(named(parent.select(*up, "rate", "bucket", "n")), same()).select(*by, "rate", "bucket", (F.col("n") * F.col("scale")).alias("n"))
+    return own.unionByName(prior).groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
+
+
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Median and tails (see TAILS) of the sketches merged by `by`: (*by, rate, docs, under, mid, over)."""
-    merged = sketch.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
+    """Median and tails (see TAILS) of sketches with one row per `by`, rate and bucket: (*by, rate, under, mid, over)."""
     group = Window.partitionBy(*by, "rate")
     value = F.when(F.col("bucket") == -(2**31), 0.0).otherwise(2 * F.pow(F.lit(GROWTH), F.col("bucket")) / (1 + GROWTH))
     tail = _of_rate({k: t for k, (t, _) in TAILS.items()}, "rate")
-    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group)).withColumn("value", value).withColumn("tail", tail)
-    at = lambda q: F.min(F.when(F.col("upto") >= F.col("docs") * q, F.col("value")))
-    return ranked.groupBy(*by, "rate").agg(F.first("docs").alias("docs"), at(1 - F.col("tail")).alias("under"), at(F.lit(0.5)).alias("mid"), at(F.col("tail")).alias("over"))
+    upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = sketch.withColumn("upto", upto).withColumn("value", value).withColumn("tail", tail)
+    total = ranked.groupBy(*[F.col(c).alias(f"of_{c}") for c in [*by, "rate"]]).agg(F.max("upto").alias("docs"))
+    ranked = ranked.join(total, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in [*by, "rate"]])
+    at = lambda q: F.min(F.when(F.col("upto") >= F.col("docs") * q * (1 - 1e-12), F.col("value")))
+    return ranked.groupBy(*by, "rate").agg(at(1 - F.col("tail")).alias("under"), at(F.lit(0.5)).alias("mid"), at(F.col("tail")).alias("over"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """Upper and lower fences of each group (lang, source): one map of rates to (low, high)."""
-    own, lang, all_ = (quantiles(sketch, by).alias(name) for name, by in (("own", ["lang", "source"]), ("wide", ["lang"]), ("all", [])))
-    joined = own.join(lang, F.col("own.lang").eqNullSafe(F.col("wide.lang")) & (F.col("own.rate") == F.col("wide.rate"))).join(all_, F.col("own.rate") == F.col("all.rate"))
-    pick = lambda q: F.when(F.col("own.docs") >= LEAST, F.col(f"own.{q}")).when(F.col("wide.docs") >= LEAST, F.col(f"wide.{q}")).otherwise(F.col(f"all.{q}"))
-    under, mid, over = pick("under"), pick("mid"), pick("over")
-    reach, slack = _of_rate({k: r for k, (_, r) in TAILS.items()}, "own.rate"), _of_rate(SLACK, "own.rate")
+    everything = sketch.groupBy("rate", "bucket").agg(F.sum("n").cast("double").alias("n"))
+    langs = pooled(sketch, everything, ["lang"], [])
+    found = quantiles(pooled(sketch, langs, ["lang", "source"], ["lang"]), ["lang", "source"])
+    under, mid, over = F.col("under"), F.col("mid"), F.col("over")
+    reach, slack = _of_rate({k: r for k, (_, r) in TAILS.items()}, "rate"), _of_rate(SLACK, "rate")
     # too few symbols or repeated lines are no fault
-    low = F.when(F.col("own.rate") == "chars_per_word", (under - reach * (mid - under)) * (2 - GROWTH) - slack).otherwise(F.lit(-1.0))
+    low = F.when(F.col("rate") == "chars_per_word", (under - reach * (mid - under)) * (2 - GROWTH) - slack).otherwise(F.lit(-1.0))
     high = (over + reach * (over - mid)) * GROWTH + slack
-    return joined.select(F.col("own.lang").alias("lang"), F.col("own.source").alias("source"), F.col("own.rate").alias("rate"), low.alias("low"), high.alias("high")).groupBy("lang", "source").agg(
-        F.map_from_entries(F.collect_list(F.struct("rate", F.struct("low", "high")))).alias("fence")
-    )
+    return found.select("lang", "source", "rate", low.alias("low"), high.alias("high")).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rate", F.struct("low", "high")))).alias("fence"))
 
 
 def apply(docs: DataFrame, least_words: int = 20, most_repeats: int = 30) -> DataFrame:
@@ -149,7 +161,7 @@ def apply(docs: DataFrame, least_words: int = 20, most_repeats: int = 30) -> Dat
 
     failed = F.expr(f"n_words < {int(least_words)} or 100 * n_repeat_words > {int(most_repeats)} * n_words")
     measured = cut(measure(docs).withColumn("base_failed", failed))
-    limits = fences(sketches(measured.where("not base_failed"))).select(F.col("lang").alias("l"), F.col("source").alias("s"), "fence")
+    limits = fences(cut(sketches(measured.where("not base_failed")))).select(F.col("lang").alias("l"), F.col("source").alias("s"), "fence")
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     passes = [F.expr(rule).between(F.col("fence")[name]["low"], F.col("fence")[name]["high"]) for name, rule in RATES.items()]
     kept = ~F.col("base_failed")

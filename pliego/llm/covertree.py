@@ -4,8 +4,10 @@ Unit vectors have cosine >= c exactly if their distance is at most sqrt(2 - 2c),
 the triangle inequality. Equal vectors form a class, of which one goes on. Classes are dealt to cells
 around pivots, and cells to blocks of bounded size; two blocks meet unless the distance of their
 pivots, less their radii, is above the threshold. A task takes two blocks, builds nested levels of
-centres with halving radii over each, and walks both trees at once: a pair of nodes is dropped if all
-its pairs are too far, counted whole if all are near enough, and opened otherwise. Only counts and a
+centres with halving radii over each, up to one root, and walks both trees from their roots at once: a
+pair of nodes is dropped if all its pairs are too far, counted whole if all are near enough, and opened
+otherwise. Levels that would merge next to nothing are left out, so vectors without any structure hang
+on the root, and opening it compares them all. Only counts and a
 forest of links leave a task, never pairs, so a dense group costs no more rows than members.
 """
 
@@ -22,74 +24,88 @@ from pyspark.sql import functions as F
 from pliego.llm import words as W
 from pliego.llm.common import components, cut
 
-BLOCK, CELLS, SAMPLE = 8192, 64, 4096
-#: Radii of the nested levels, finest first.
+BLOCK, CELLS, SAMPLE = 8192, 512, 4096
+#: Radii of the nested levels below the root, finest first.
 RADII = (0.125, 0.25, 0.5, 1.0)
 #: Bound on what single precision adds to a distance of unit vectors near the thresholds here.
 SLACK = 2e-3
 
 
+def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+    """Of each list of doubles: whether it can link at all, a hash of it, and the unit vector as bytes."""
+    count = len(column)
+    can, keys, out = np.zeros(count, bool), np.zeros(count, np.int64), [None] * count
+    places = column.offsets.to_numpy().astype(np.int64)
+    sizes = np.where(np.asarray(column.is_valid()), np.diff(places), 0)
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become nan
+    for dim in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == dim)
+        matrix = values[places[rows][:, None] + np.arange(dim)]
+        size = np.abs(matrix).max(1)
+        good = np.isfinite(size) & (size > 0)
+        rows, matrix, size = rows[good], np.ascontiguousarray(matrix[good]), size[good]
+        unit = matrix / size[:, None]
+        unit /= np.sqrt((unit * unit).sum(1))[:, None]
+        starts = np.arange(len(rows)) * dim * 8
+        can[rows], keys[rows] = True, W.signed(W.hashes(matrix.view(np.uint8).ravel(), starts, starts + dim * 8))
+        for i, v in zip(rows.tolist(), unit, strict=True):
+            out[i] = v.tobytes()
+    return can, keys, out
+
+
 def classes_of(vectors: DataFrame) -> DataFrame:
     """vec_id, key and unit (doubles as binary) of each row; key and unit are null for vectors that link with nothing."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, units = [], []
-            for row in batch.column("embedding").to_pylist():
-                v = None if row is None or None in row or not row else np.array(row, np.float64)
-                size = 0.0 if v is None or not np.isfinite(v).all() else np.abs(v).max()
-                if size > 0:
-                    v = v / size
-                    v /= math.sqrt(v @ v)
-                    data = np.array(row, np.float64).tobytes()
-                    keys.append(int(W.signed(W.hashes(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([len(data)])))[0]))
-                    units.append(v.tobytes())
-                else:
-                    keys.append(None)
-                    units.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.int64()), pa.array(units, pa.binary())], names=["vec_id", "key", "unit"])
+            can, keys, found = units(batch.column("embedding"))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.int64(), mask=~can), pa.array(found, pa.binary())], names=["vec_id", "key", "unit"])
 
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     return rows.mapInArrow(work, "vec_id long, key long, unit binary")
 
 
-def pivots(classes: DataFrame, count: int) -> np.ndarray:
-    """Up to CELLS vectors far from each other, of the SAMPLE classes with the smallest hashes."""
+def pivots(classes: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """Up to `count` vectors far from each other, by dimension, of the SAMPLE classes with the smallest hashes.
+
+    Each dimension of the sample has pivots in proportion to its vectors, one at least.
+    """
     got = classes.select("key", "unit").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()
-    if not got:
-        return np.zeros((0, 1))
-    dim = min(len(r.unit) for r in got)
-    points = np.array([np.frombuffer(r.unit, np.float64) for r in got if len(r.unit) == dim])
-    chosen, nearest = [0], np.linalg.norm(points - points[0], axis=1)
-    while len(chosen) < count and nearest.max() > 1e-9:
-        chosen.append(int(nearest.argmax()))
-        nearest = np.minimum(nearest, np.linalg.norm(points - points[chosen[-1]], axis=1))
-    return points[chosen]
+    out = {}
+    for dim in {len(r.unit) // 8 for r in got}:
+        points = np.array([np.frombuffer(r.unit, np.float64) for r in got if len(r.unit) == dim * 8])
+        chosen, nearest = [0], np.linalg.norm(points - points[0], axis=1)
+        while len(chosen) < count * len(points) // len(got) and nearest.max() > 1e-9:
+            chosen.append(int(nearest.argmax()))
+            nearest = np.minimum(nearest, np.linalg.norm(points - points[chosen[-1]], axis=1))
+        out[dim] = points[chosen]
+    return out
 
 
 def blocks_of(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each class's block, and the pairs of blocks that may hold a link at distance `reach`."""
+    """Each class's block, and the radius of each block. Vectors of one cell have one dimension."""
     total = classes.count()
-    centers = pivots(classes, max(1, min(CELLS, total // 2048)))
-    shared = classes.sparkSession.sparkContext.broadcast(centers)
+    centers = pivots(classes, max(1, min(CELLS, total // BLOCK)))
+    first = dict(zip(sorted(centers), np.cumsum([0, *(len(centers[d]) for d in sorted(centers))]).tolist(), strict=False))
+    shared = classes.sparkSession.sparkContext.broadcast((centers, first))
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, number = shared.value
         for batch in batches:
-            cells, far = [], []
-            for unit in batch.column("unit").to_pylist():
-                v = np.frombuffer(unit, np.float64)
-                if len(v) != own.shape[1]:
-                    # vectors of another dimension only meet their like
-                    cells.append(-len(v))
-                    far.append(2.0)
-                    continue
-                d = np.linalg.norm(own - v, axis=1)
-                cells.append(int(d.argmin()))
-                far.append(float(d.min()))
+            packed = batch.column("unit").to_pylist()
+            sizes = np.array([len(u) // 8 for u in packed], np.int64)
+            cells, far = -sizes, np.full(len(sizes), 2.0)  # a dimension that the sample lacks: a cell of its own
+            for dim in np.unique(sizes).tolist():
+                if dim in own:
+                    rows = np.flatnonzero(sizes == dim)
+                    points = np.frombuffer(b"".join(packed[i] for i in rows.tolist()), np.float64).reshape(-1, dim)
+                    near = points @ own[dim].T
+                    cells[rows] = near.argmax(1) + number[dim]
+                    far[rows] = np.sqrt(np.maximum(2 - 2 * near.max(1), 0)) + 1e-7
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), batch.column("unit"), pa.array(cells, pa.int32()), pa.array(far)], names=["key", "n", "unit", "cell", "far"])
 
-    dealt = classes.select("key", "n", "unit").mapInArrow(assign, "key long, n long, unit binary, cell int, far double")
+    placed = classes.select("key", "n", "unit").mapInArrow(assign, "key long, n long, unit binary, cell int, far double")
+    dealt = cut(placed)
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("size"))
     part = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).cast("int")
     placed = cut(dealt.join(sizes, "cell").select("key", "n", "unit", "cell", "far", part.alias("part")))
@@ -98,49 +114,61 @@ def blocks_of(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def block_pairs(blocks: DataFrame, placed: DataFrame, reach: float) -> DataFrame:
     """Pairs (cell, part, other_cell, other_part), each once, whose bounds don't rule a link out."""
-    gaps = blocks.sparkSession.createDataFrame(_gaps(placed), "cell int, other_cell int, gap double")
-    near = blocks.join(F.broadcast(gaps), "cell")  # at most CELLS * CELLS rows
+    gaps = blocks.sparkSession.createDataFrame(_gaps(placed, reach), "cell int, other_cell int, gap double")
+    near = blocks.join(gaps, "cell")
     other = blocks.select(F.col("cell").alias("other_cell"), F.col("part").alias("other_part"), F.col("radius").alias("other_radius"))
     pairs = near.join(other, "other_cell").where(F.struct("cell", "part") <= F.struct(F.col("other_cell").alias("cell"), F.col("other_part").alias("part")))
     return pairs.where(F.col("gap") - F.col("radius") - F.col("other_radius") <= reach + 1e-9).select("cell", "part", "other_cell", "other_part")
 
 
-def _gaps(placed: DataFrame) -> list[tuple[int, int, float]]:
-    """Lower bounds on the distance of two cells' pivots: those of the classes nearest to them, less their distances to them."""
-    rows = placed.groupBy("cell").agg(F.min(F.struct("far", "key", "unit")).alias("m")).collect()
-    at = {r.cell: (np.frombuffer(r.m.unit, np.float64), r.m.far) for r in rows}
-    out = []
-    for a, (v, x) in at.items():
-        for b, (w, y) in at.items():
-            if a == b:
-                out.append((a, b, 0.0))
-            elif len(v) == len(w):
-                out.append((a, b, max(0.0, float(np.linalg.norm(v - w)) - x - y)))
-    return out
+def _gaps(placed: DataFrame, reach: float) -> list[tuple[int, int, float]]:
+    """Cells that may hold a link (CELLS at most, and one for each dimension that the sample lacked), with lower bounds on the distance of their pivots.
+
+    The bounds come from the classes nearest to the pivots, less their distances to them.
+    """
+    rows = placed.groupBy("cell").agg(F.min(F.struct("far", "key", "unit")).alias("m"), F.max("far").alias("radius")).collect()
+    found = [(r.cell, r.cell, 0.0) for r in rows]
+    for dim in {len(r.m.unit) for r in rows}:
+        own = [r for r in rows if len(r.m.unit) == dim]
+        points = np.array([np.frombuffer(r.m.unit, np.float64) for r in own])
+        off, radius = np.array([r.m.far for r in own]), np.array([r.radius for r in own])
+        gap = np.sqrt(np.maximum(2 - 2 * (points @ points.T), 0)) - 1e-7 - off[:, None] - off[None]
+        for i, j in zip(*(x.tolist() for x in np.nonzero(gap - radius[:, None] - radius[None] <= reach + 1e-9)), strict=True):
+            if i != j:
+                found.append((own[i].cell, own[j].cell, max(0.0, float(gap[i, j]))))
+    return found
 
 
 class Tree:
-    """Nested levels of centres over the rows of one block; level 0 holds the points."""
+    """Nested levels of centres over the rows of one block, from the points (level 0) to one root."""
 
     def __init__(self, points: np.ndarray):
-        self.points = points
-        members = np.arange(len(points))
-        self.nodes, self.radius, self.children = [members], [np.zeros(len(points))], [[]]
-        leaves = [np.array([i]) for i in range(len(points))]
-        self.leaves = [leaves]
+        self.points, self.light = points, points.astype(np.float32)
+        self.nodes, self.radius, self.children = [np.arange(len(points))], [np.zeros(len(points))], [[]]
+        self.leaves = [[np.array([i]) for i in range(len(points))]]
         for radius in RADII:
             below = self.nodes[-1]
-            owner = cover(points[below], radius)
-            if len(np.unique(owner)) > 0.9 * len(below):
-                break  # this level and those above it would merge next to nothing
-            order = np.argsort(owner, kind="stable")
-            heads, start = np.unique(owner[order], return_index=True)
-            groups = np.split(order, start[1:])
-            under = [np.concatenate([self.leaves[-1][c] for c in g]) for g in groups]
-            self.nodes.append(below[heads])
-            self.children.append(groups)
-            self.leaves.append(under)
-            self.radius.append(np.array([np.sqrt(np.maximum(((points[u] - points[below[h]]) ** 2).sum(1), 0)).max() for h, u in zip(heads, under, strict=True)]))
+            if len(below) > 1 and merges(self.light[below], radius):
+                self._level(cover(points[below], radius))
+        self._level(np.zeros(len(self.nodes[-1]), np.int64))
+
+    def _level(self, owner: np.ndarray) -> None:
+        """A level of the nodes that own those below."""
+        below = self.nodes[-1]
+        order = np.argsort(owner, kind="stable")
+        heads, start = np.unique(owner[order], return_index=True)
+        groups = np.split(order, start[1:])
+        under = [np.concatenate([self.leaves[-1][c] for c in g]) for g in groups]
+        self.nodes.append(below[heads])
+        self.children.append(groups)
+        self.leaves.append(under)
+        self.radius.append(np.array([np.sqrt(np.maximum(((self.points[u] - self.points[below[h]]) ** 2).sum(1), 0)).max() for h, u in zip(heads, under, strict=True)]))
+
+
+def merges(light: np.ndarray, radius: float) -> bool:
+    """Whether a level of this radius is worth while: one in ten of some points spread over all has another one within it."""
+    some = light[:: max(1, len(light) // 256)]
+    return bool(((some @ light.T >= 1 - radius * radius / 2).sum(1) > 1).mean() >= 0.1)
 
 
 def cover(points: np.ndarray, radius: float) -> np.ndarray:
@@ -168,13 +196,14 @@ def cover(points: np.ndarray, radius: float) -> np.ndarray:
     return owner
 
 
-def traverse(one: Tree, two: Tree, cosine: float, same: bool, weight: np.ndarray, other_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Numbers of links of each point, and a forest of links (places in `two` are counted on from `one`)."""
+def traverse(one: Tree, two: Tree, cosine: float, same: bool, weight: np.ndarray, other_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], int]:
+    """Numbers of links of each point, a forest of links (places in `two` are counted on from `one`) and how many pairs of points were looked at."""
     reach = math.sqrt(2 - 2 * cosine)
     counts, other_counts = np.zeros(len(one.points), np.int64), np.zeros(len(two.points), np.int64)
     parent = np.arange(len(one.points) + (0 if same else len(two.points)))
     shift = 0 if same else len(one.points)
     forest: list[tuple[int, int]] = []
+    visited = 0
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -208,6 +237,9 @@ def traverse(one: Tree, two: Tree, cosine: float, same: bool, weight: np.ndarray
 
     def step(level: int, lower: int, u: np.ndarray, v: np.ndarray, distance: np.ndarray) -> None:
         """Pairs of nodes of given levels, with their distances."""
+        nonlocal visited
+        if level == 0 and lower == 0:
+            visited += len(u)
         slack = one.radius[level][u] + two.radius[lower][v]
         near = distance - slack <= reach + SLACK
         u, v, distance, slack = u[near], v[near], distance[near], slack[near]
@@ -244,19 +276,20 @@ def traverse(one: Tree, two: Tree, cosine: float, same: bool, weight: np.ndarray
         kids2 = [two.children[lower][b] if lower else np.array([b]) for b in v]
         buffer: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
-        for same_node, x, y in zip((u == v) & same, kids, kids2, strict=True):
-            for start in range(0, len(x), max(1, 100_000 // len(y))):
-                xs = x[start : start + max(1, 100_000 // len(y))]
-                a, b = np.repeat(xs, len(y)), np.tile(y, len(xs))
-                if same_node:
-                    a, b = a[a <= b], b[a <= b]
-                elif same:
-                    a, b = np.minimum(a, b), np.maximum(a, b)
-                buffer.append((a, b))
-                held += len(a)
-                if held > 200_000:
-                    opened(down, down2, buffer)
-                    buffer, held = [], 0
+        for same_node, x, y in zip(((u == v) & same).tolist(), kids, kids2, strict=True):
+            if len(x) * len(y) > 4096:
+                product(down, down2, x, y, same_node)
+                continue
+            a, b = np.repeat(x, len(y)), np.tile(y, len(x))
+            if same_node:
+                a, b = a[a <= b], b[a <= b]
+            elif same:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            buffer.append((a, b))
+            held += len(a)
+            if held > 200_000:
+                opened(down, down2, buffer)
+                buffer, held = [], 0
         if buffer:
             opened(down, down2, buffer)
 
@@ -265,20 +298,26 @@ def traverse(one: Tree, two: Tree, cosine: float, same: bool, weight: np.ndarray
         d = np.sqrt(((one.points[one.nodes[level][a]] - two.points[two.nodes[lower][b]]) ** 2).sum(1))
         step(level, lower, a, b, d)
 
-    top, top2 = len(one.nodes) - 1, len(two.nodes) - 1
-    left, right = one.points[one.nodes[top]].astype(np.float32), two.points[two.nodes[top2]].astype(np.float32)
-    for start in range(0, len(left), 1024):
-        begin = start if same else 0
-        product = left[start : start + 1024] @ right[begin:].T
-        bound = reach + SLACK + one.radius[top][start : start + 1024, None] + two.radius[top2][None, begin:]
-        i, j = np.nonzero(product >= 1 - np.minimum(bound, 2.0) ** 2 / 2 - 1e-6)
-        a, b = i + start, j + begin
-        if same:
-            a, b = a[a <= b], b[a <= b]
-        for part in range(0, len(a), 200_000):
-            x, y = a[part : part + 200_000], b[part : part + 200_000]
-            step(top, top2, x, y, np.sqrt(((one.points[one.nodes[top][x]] - two.points[two.nodes[top2][y]]) ** 2).sum(1)))
-    return counts, other_counts, forest
+    def product(level: int, lower: int, x: np.ndarray, y: np.ndarray, same_node: bool) -> None:
+        """Many children of two nodes: bounds by a product of matrices first."""
+        nonlocal visited
+        left, right = one.light[one.nodes[level][x]], two.light[two.nodes[lower][y]]
+        for start in range(0, len(x), 512):
+            bound = reach + SLACK + one.radius[level][x[start : start + 512], None] + two.radius[lower][y][None]
+            i, j = np.nonzero(left[start : start + 512] @ right.T >= 1 - np.minimum(bound, 2.0) ** 2 / 2 - 1e-6)
+            if level == 0 and lower == 0:
+                visited += min(512, len(x) - start) * len(y) - len(i)
+            a, b = x[i + start], y[j]
+            if same_node:
+                a, b = a[a <= b], b[a <= b]
+            elif same:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            for part in range(0, len(a), 200_000):
+                opened(level, lower, [(a[part : part + 200_000], b[part : part + 200_000])])
+
+    start = np.zeros(1, np.int64)
+    opened(len(one.nodes) - 1, len(two.nodes) - 1, [(start, start)])
+    return counts, other_counts, forest, visited
 
 
 def links(placed: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
@@ -302,7 +341,7 @@ def links(placed: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
             right = left if same else Tree(np.array([np.frombuffer(u, np.float64) for _, _, u in two]))
             weight = np.array([n for _, n, _ in one], np.int64)
             other = weight if same else np.array([n for _, n, _ in two], np.int64)
-            counts, others, forest = traverse(left, right, cosine, same, weight, other)
+            counts, others, forest, _ = traverse(left, right, cosine, same, weight, other)
             found = counts if same else np.concatenate([counts, others])
             some = np.flatnonzero(found)
             a = np.array([x for x, _ in forest], np.int64)

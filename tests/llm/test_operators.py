@@ -214,9 +214,12 @@ def test_line_dedup_equals_brute_force(spark, docs, empty):
     assert lines.remove_lines(empty).count() == 0
 
 
-@pytest.mark.parametrize("nearest", [1, 16])
-def test_line_dedup_needs_no_luck_with_candidates(spark, monkeypatch, nearest):
+@pytest.mark.parametrize(("nearest", "longest"), [(1, 50_000), (16, 50_000), (2, 10)])
+def test_line_dedup_needs_no_luck_with_candidates(spark, monkeypatch, nearest, longest):
+    """Few candidates at a time, and lists that are dealt out as pairs of blocks."""
     monkeypatch.setattr(lines, "NEAREST", nearest)
+    monkeypatch.setattr(lines, "GROWTH", 2)
+    monkeypatch.setattr(lines, "LIST", longest)
     rows = [(i, " ".join(f"w{i}x" if j in (i % 7, (3 * i) % 11) else f"w{j}" for j in range(12)), "en", "a") for i in range(60)]
     sets = [frozenset(words(t)) for _, t, *_ in rows]
     want = {i for i in range(60) if any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(i))}
@@ -337,6 +340,57 @@ def test_toxicity_learns_misspellings(spark):
     held = toxicity.score(frame, model).where("held_out").join(frame, "doc_id")
     assert held.where("predicted <> toxic").count() <= 0.02 * held.count()
     assert toxicity.reject(frame, model).columns == frame.columns
+    assert got[3].score == got[4].score == 0 and got[2].score < 0.1
+    unseen = toxicity.score(spark.createDataFrame([(1, "xyzzy plugh quux")], "doc_id long, text string"), model).first()
+    assert unseen.predicted == 0
+
+
+def test_toxicity_of_odd_tables(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 5, 6, 8, 9, 10, 11)] + [(4, None), (None, 1), (1, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    found = toxicity.score(docs, model).collect()
+    assert sorted(r.doc_id for r in found) == sorted(t[0] for t in TEXTS)
+    assert all(0 <= r.score <= 1 for r in found)
+    # two labelled texts without a word that aren't held out decide what others like them score
+    blank = [(5, 1), (10, 0)]
+    known = [t for i, t in blank if not spark.range(1).select(toxicity.held_out(F.lit(i))).first()[0]]
+    want = sum(known) / len(known) if known else 0.0
+    assert {r.score for r in found if r.doc_id in (4, 5, 10)} == {want}
+    assert toxicity.score(empty, model).count() == 0 and toxicity.reject(empty, model).count() == 0
+    assert toxicity.reject(docs, model).columns == docs.columns
+    nothing = toxicity.fit(empty, labels)
+    assert {r.score for r in toxicity.score(spark.createDataFrame([(1, None), (2, "a")], "doc_id long, text string"), nothing).collect()} <= {0.0, 1 / (1 + math.exp(-nothing.bias))}
+    one_class = toxicity.fit(docs, labels.where("toxic = 1"))
+    assert all(r.predicted == 1 for r in toxicity.score(docs, one_class).collect())
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    rows = [(i, f"w{i} " * 100, i % 2) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = []
+    train = toxicity.train
+    try:
+        toxicity.train = lambda sample: seen.append(sample) or (np.zeros(2**toxicity.TABLE_BITS, np.float32), 0.0)
+        toxicity.fit(frame, frame.select("doc_id", "toxic"), most=4000)
+        toxicity.fit(frame, frame.select("doc_id", "toxic"))
+    finally:
+        toxicity.train = train
+    assert 0 < len(seen[0].toxic) <= 13 < len(seen[1].toxic)
+    assert len(seen[0].word) == seen[0].firsts[-1] == 100 * len(seen[0].toxic)
+
+
+def test_toxicity_gradients_do_not_hang_on_pieces():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "vile"], int(rng.integers(1, 30)))) for _ in range(50)]
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    rows, per, _ = toxicity.features(__import__("pyarrow").array([" ".join(vocabulary)]))
+    word = np.array([vocabulary.index(w) for t in texts for w in t.split()], np.int32)
+    firsts = np.concatenate([[0], np.cumsum([len(t.split()) for t in texts])])
+    sample = toxicity.Sample(word, firsts, np.array(["vile" in t for t in texts], np.float32), rows, per)
+    whole, bias = toxicity.train(sample, rounds=3)
+    sample.pieces = lambda: toxicity.Sample.pieces(sample, 7)
+    parts, other = toxicity.train(sample, rounds=3)
+    assert np.allclose(whole, parts, atol=1e-4) and bias == pytest.approx(other, abs=1e-4)
 
 
 def test_chat_folds_edits_and_reads_back(spark):
@@ -354,6 +408,218 @@ def test_chat_folds_edits_and_reads_back(spark):
     assert one.loss_sha256 == hashlib.sha256(b"a\\<b>").hexdigest()
 
 
+def folded(events):
+    """What `chat.fold` says, one event after another."""
+    turns = {}
+    first = lambda e: (e[1] or 0, e[2] == "delta", e[5] or "", e[2], -1 if e[3] is None else e[3])
+    for _, _, kind, turn, role, text in sorted(events, key=first):
+        key = -1 if turn is None else turn
+        if kind == "regenerate":
+            turns = {t: x for t, x in turns.items() if t <= key}
+        if kind == "edit" and key not in turns:
+            continue
+        old = turns.get(key, ("", ""))
+        turns[key] = (role if role is not None else old[0], (old[1] if kind == "delta" else "") + (text or ""))
+    return turns
+
+
+def test_chat_folds_random_logs(spark):
+    rng = np.random.default_rng(8)
+    kinds = ["message", "delta", "delta", "edit", "regenerate"]
+    rows = []
+    for conv in range(300):
+        for seq in range(int(rng.integers(0, 14))):
+            turn = int(rng.integers(-1, 4))
+            rows.append((conv, int(rng.integers(0, 10)) if conv % 2 else seq, str(rng.choice(kinds)), None if turn < 0 else turn, [None, "user", "assistant"][int(rng.integers(3))], [None, "a", "bb", "\\<#"][int(rng.integers(4))]))
+    # a later turn's edit doesn't bring it back, and new deltas of it stay
+    rows += [(900, 1, "message", 0, "user", "q"), (900, 2, "message", 1, "assistant", "x"), (900, 3, "message", 2, "user", "y"), (900, 4, "regenerate", 1, None, "z"), (900, 5, "edit", 2, None, "late")]
+    rows += [(901, 1, "delta", 1, "assistant", "old"), (901, 2, "regenerate", 0, "user", "q"), (901, 3, "delta", 1, None, "new")]
+    log = spark.createDataFrame(rows, "conv_id long, seq int, kind string, turn int, role string, text string")
+    by = defaultdict(list)
+    for r in rows:
+        by[r[0]].append(r)
+    # events that tie in all but their role have no order
+    clear = {c for c, es in by.items() if len({(e[1], e[2], e[3], e[5] or "") for e in es}) == len(es)}
+    want = sorted((c, t, *x) for c in clear for t, x in folded(by[c]).items())
+    got = sorted((r.conv_id, -1 if r.turn is None else r.turn, r.role, r.text) for r in chat.fold(log).collect() if r.conv_id in clear)
+    assert len(clear) > 200 and got == want
+    assert [(r.turn, r.text) for r in sorted(chat.fold(log).where("conv_id = 900").collect(), key=lambda r: r.turn)] == [(0, "q"), (1, "z")]
+    assert [(r.turn, r.text) for r in sorted(chat.fold(log).where("conv_id = 901").collect(), key=lambda r: r.turn)] == [(0, "q"), (1, "new")]
+
+
+def test_chat_of_odd_logs(spark):
+    schema = "conv_id long, seq int, kind string, turn int, role string, text string"
+    assert chat.digest(chat.read_back(chat.render(chat.fold(spark.createDataFrame([], schema))))).count() == 0
+    long = spark.createDataFrame([(1, 0, "message", i, "user" if i % 2 else "assistant", "t" * (i % 7)) for i in range(3000)] * 2, schema)
+    clash = long.withColumn("log", F.lit(1)).withColumn("cut", F.lit(2)).withColumn("last", F.lit(3))
+    one = chat.digest(chat.read_back(chat.render(chat.fold(clash)))).first()
+    assert (one.n_turns, one.loss_chars) == (3000, sum(i % 7 for i in range(0, 3000, 2)))
+    with pytest.raises(Exception, match="unknown kind"):
+        chat.fold(spark.createDataFrame([(1, 0, "poke", 0, None, None)], schema)).collect()
+
+
+@pytest.mark.parametrize("pattern", [None, r"[^\r\n\p{L}\p{N}]?\p{L}+(?:'s|'re)?|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"])
+def test_counts_of_random_edits(pattern):
+    data, shipped = ranks()
+    codec = bpe.Codec(bpe.parse_ranks(data), pattern or shipped)
+    known = counts.Counts(codec)
+    rng = np.random.default_rng(5)
+    signs = list("ab 1\n' .é") + ["\n\n", "   ", "'re", "x's"]
+    for _ in range(300):
+        text = "".join(rng.choice(signs, int(rng.integers(0, 900 if rng.random() < 0.1 else 60))))
+        tree = counts.TokenTree(text, known)
+        for _ in range(6):
+            start, length, insert = int(rng.integers(0, len(text) + 2)), int(rng.integers(0, 6)), "".join(rng.choice(signs, int(rng.integers(0, 4))))
+            tree.edit(start, length, insert)
+            start = min(start, len(text))
+            text = text[:start] + insert + text[start + length :]
+            assert [p for leaf in tree.leaves for p in leaf] == codec.split(text)
+
+
+def test_counts_behind_a_run_of_blanks():
+    data, _ = ranks()
+    codec = bpe.Codec(bpe.parse_ranks(data), r"\p{L}+|\s*[\r\n]+|\s+|.")
+    tree = counts.TokenTree("a \n\n   b" + " " * 600 + "c", counts.Counts(codec))
+    tree.edit(7, 0, "\n")
+    assert [p for leaf in tree.leaves for p in leaf] == codec.split("a \n\n   \nb" + " " * 600 + "c")
+    tree.edit(609, 0, "\n")
+    assert [p for leaf in tree.leaves for p in leaf] == codec.split("a \n\n   \nb" + " " * 600 + "\nc")
+
+
+def test_cover_trees_prune():
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(30, 32))
+    points = np.repeat(centers, 20, 0) + rng.normal(size=(600, 32)) * 0.02
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    tree = covertree.Tree(points)
+    assert len(tree.nodes) > 2 and len(tree.nodes[-1]) == 1
+    for level in range(1, len(tree.nodes)):
+        assert set(tree.nodes[level]) <= set(tree.nodes[level - 1])
+    weight = np.ones(600, np.int64)
+    linked = points @ points.T >= 0.9
+    found, _, forest, visited = covertree.traverse(tree, tree, 0.9, True, weight, weight)
+    assert found.tolist() == (linked.sum(1) - 1).tolist() and visited < 600 * 599 / 2 / 5
+    one, two = covertree.Tree(points[:250]), covertree.Tree(points[250:])
+    a, b, _, visited = covertree.traverse(one, two, 0.9, False, weight[:250], weight[250:])
+    assert a.tolist() == linked[:250, 250:].sum(1).tolist() and b.tolist() == linked[:250, 250:].sum(0).tolist() and visited < 250 * 350 / 5
+    # without any structure all hang on the root, and the results are the same
+    flat = rng.normal(size=(300, 64))
+    flat /= np.linalg.norm(flat, axis=1)[:, None]
+    tree = covertree.Tree(flat)
+    assert covertree.traverse(tree, tree, 0.9, True, np.ones(300, np.int64), np.ones(300, np.int64))[0].tolist() == ((flat @ flat.T >= 0.9).sum(1) - 1).tolist()
+
+
+def test_pivots_of_each_dimension(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(400)] + [(400, [1.0, 2.0])]
+    classes = covertree.classes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = covertree.pivots(classes, 10)
+    assert found[64].shape == (9, 64) and found[2].shape == (1, 2)
+
+
+@pytest.mark.parametrize("cells", [8, 40])
+def test_vectors_in_several_blocks(spark, monkeypatch, cells):
+    monkeypatch.setattr(covertree, "BLOCK", cells)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(30, 16))
+    vectors = base[rng.integers(0, 30, 300)] + rng.normal(size=(300, 16)) * 0.2
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.9
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").withColumn("cell", F.lit("clash")).withColumn("key", F.lit("clash"))
+    assert {r.vec_id: r.n_links for r in covertree.near_vectors(frame, 0.9).collect()} == {i: int(linked[i].sum() - 1) for i in range(300)}
+
+
+def test_mix_salts_many_sources(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 9), "en", f"s{i % 5}") for i in range(500)] + TEXTS
+    frame = spark.createDataFrame(rows, SCHEMA)
+    usual = sorted(mixing.plan(frame).collect(), key=str)
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    assert sorted(mixing.plan(frame).collect(), key=str) == usual
+    assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 70, 95])
+def test_links_of_other_similarities(spark, percent):
+    rng = np.random.default_rng(percent)
+    rows = []
+    for i in range(60):
+        words_ = [f"w{i // 2}x{j}" for j in range(80)]
+        if i % 2:
+            for j in rng.choice(80, int(rng.integers(0, 8)), replace=False):
+                words_[j] = f"o{i}x{j}"
+        rows.append((i, " ".join(words_), "en", "a"))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 5, percent).collect())
+    assert got == linked(rows, percent)
+    assert len({c for _, _, c in got}) < 60
+
+
+def test_quality_groups_lean_on_their_parents(spark):
+    rng = np.random.default_rng(11)
+    text = lambda k: " ".join(["word"] * 0 + [f"{rng.integers(1000, 9999)}" for _ in range(30)] + ["#"] * k)
+    rows = [(i, text(0), "en", "big") for i in range(400)] + [(400 + i, text(3), "en", "small") for i in range(4)] + [(410, text(3), None, None), (411, text(0), "fr", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    whole = quality.sketches(quality.measure(docs))
+    limits = {(r.lang, r.source): r.fence for r in quality.fences(whole).collect()}
+    assert set(limits) == {("en", "big"), ("en", "small"), (None, None), ("fr", None)}
+    high = lambda k: limits[k]["symbols_per_word"].high
+    assert high(("en", "big")) <= high(("en", "small"))
+    # sketches merge in any order
+    parts = quality.sketches(quality.measure(docs.where("doc_id % 3 = 1"))).unionByName(quality.sketches(quality.measure(docs.where("doc_id % 3 <> 1"))))
+    again = {(r.lang, r.source): r.fence for r in quality.fences(parts).collect()}
+    assert again == limits
+    # tails of a large group are within the sketch's error of the exact ones
+    measured = quality.measure(docs.where("source = 'big'"))
+    sketch = quality.sketches(measured).groupBy("lang", "source", "rate", "bucket").agg(F.sum("n").alias("n"))
+    got = next(r for r in quality.quantiles(sketch, ["lang", "source"]).collect() if r.rate == "chars_per_word")
+    exact = sorted(r.word_chars / r.n_words for r in measured.collect())
+    assert got.mid == pytest.approx(exact[199], rel=0.011) and got.over == pytest.approx(exact[359], rel=0.011) and got.under == pytest.approx(exact[39], rel=0.011)
+    assert quality.apply(docs).count() == len(rows)
+
+
+BASE_SQL = r"""with d as (select doc_id, coalesce(text, '') t from documents), w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] l from d)
+select doc_id, len(w) n_words, coalesce(list_sum([length(x) for x in w]), 0)::bigint word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols, len(l) - len(list_distinct(l)) n_dup_lines from w"""
+
+
+def test_registered_queries_agree_with_sql(spark):
+    """Every registered operator on the smallest tables, against its SQL where it has one."""
+    duckdb = pytest.importorskip("duckdb")
+    from pliego.llm import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("documents", "conversations", "embeddings", "labels"):
+        con.sql(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
+    made = {}
+    for name, query in queries.QUERIES.items():
+        if name.startswith("op"):
+            out = query(spark, sf_dir)
+            made[name] = [r.asDict() for r in out.collect()]
+            assert made[name], name
+        if name in queries.ORACLE_SQL:
+            rel = con.sql(queries.ORACLE_SQL[name])
+            want = [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()]
+            key = lambda r: sorted((k, repr(round(v, 6) if isinstance(v, float) else v)) for k, v in r.items())
+            assert sorted(map(key, made[name])) == sorted(map(key, want)), name
+    base = con.sql(BASE_SQL)
+    want = sorted(base.fetchall())
+    assert sorted(tuple(r[c] for c in base.columns) for r in made["op10_quality_rules"]) == want
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, 0) for i in range(12)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (docs.select("doc_id", "text", "lang", "source", F.length("text").alias("n_chars")), empty.withColumn("n_chars", F.lit(1))):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, str(tmp_path))
+            found = out.collect()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == rows.columns, name
+                rows = spark.createDataFrame(found, out.schema)
+            else:
+                assert all(r.decodes for r in found)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -143,7 +143,6 @@ def overlaps(sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(a), np.concatenate(b), np.concatenate(cuts)
 
 
-
 def _decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
     """The decimal digits of 0 to most, and how many each has, with room for one character behind."""
     width = len(str(most))
@@ -167,10 +166,10 @@ def rendered(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndar
     return text, ends[place_a], ends[place_b]
 
 
-_LOADED: dict[int, tuple] = {}
+_LOADED: dict[str, tuple] = {}
 
 
-def _loaded(key: int, make: Callable[[], tuple]) -> tuple:
+def _loaded(key: str, make: Callable[[], tuple]) -> tuple:
     """What a worker makes of broadcast files, once."""
     if key not in _LOADED:
         _LOADED.clear()
@@ -187,6 +186,7 @@ def align(frame: DataFrame, first: Callable[[bytes], Tokenizer], first_file: byt
     Both files are vocabularies, of one size whatever the input; ids must be below 65,536.
     """
     shared = frame.sparkSession.sparkContext.broadcast((first_file, second_file))
+    call = uuid.uuid4().hex
     made = ["a_ids", "b_ids", "n_groups", "n_links", "groups"]
     rest = [c for c in frame.columns if c not in made and c != text]
     packed = frame.select(F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -199,7 +199,7 @@ def align(frame: DataFrame, first: Callable[[bytes], Tokenizer], first_file: byt
         return a, Table(a.texts), b, Table(b.texts), _decimals(max(len(a.texts), len(b.texts)))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, table_a, b, table_b, decimals = _loaded(hash(shared.value), make)
+        a, table_a, b, table_b, decimals = _loaded(call, make)
         for batch in slices(batches):
             rows = [t or "" for t in batch.column("text").to_pylist()]
             spaced = [" " + t if t else "" for t in rows]
@@ -339,8 +339,8 @@ def _looked_up(aligned: DataFrame, counts: DataFrame, sizes_a: np.ndarray, sizes
             n_best, total = (batch.column(c).to_numpy().copy() for c in ("n_best", "count_sum"))
             if len(keys) and len(pairs):
                 # sorted needles keep the search within a few lines of memory
-                both = np.sort(pairs << 32 | rows)
-                rows, pairs = both & 0xFFFFFFFF, both >> 32
+                both = np.sort(pairs.astype(np.uint64) << np.uint64(32) | rows.astype(np.uint64))
+                rows, pairs = (both & np.uint64(0xFFFFFFFF)).astype(np.int64), (both >> np.uint64(32)).astype(np.int64)
                 new = _firsts(pairs)
                 distinct = pairs[new]
                 at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)

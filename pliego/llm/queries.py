@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+from pathlib import Path
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pliego.llm import bpe, chat, counts, covertree, lines, mixing, neardup, quality, substring, toxicity
+from pliego.llm import alignment, bpe, chat, counts, covertree, fingerprints, lines, mixing, neardup, quality, spelling, substring, toxicity
 from pliego.llm.common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -150,7 +155,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applied.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_byte_bpe, op4_near_duplicates, op5_token_counts, op6_substring_dedup, op7_line_dedup, op8_embedding_near_duplicates, op9_toxicity, op10_quality_rules)}
+ALIGNED_FILES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def tokenizers() -> tuple[Callable, bytes, Callable, bytes]:
+    """The two tokenizers that are aligned and their files, read where the driver runs."""
+    import public_tokenizers
+
+    files = [Path(public_tokenizers.path(name)).read_bytes() for name in ALIGNED_FILES]
+    return partial(alignment.byte_level, pattern=public_tokenizers.PATTERN), files[0], alignment.pieces, files[1]
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, first_file, second, second_file = tokenizers()
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    aligned = alignment.align(docs, first, first_file, second, second_file)
+    digests = aligned.select("doc_id", "a_ids", "b_ids", "n_groups", "n_links", F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+    sizes = [np.array([len(t) for t in make(data).texts], np.int64) for make, data in ((first, first_file), (second, second_file))]
+    counted = alignment.with_counts(alignment.stored(digests), *sizes)
+    n_a, n_b = (F.expr(f"cast(octet_length({c}) div 2 as long)").alias(n) for c, n in (("a_ids", "n_a"), ("b_ids", "n_b")))
+    return counted.select("doc_id", n_a, n_b, "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_byte_bpe, op4_near_duplicates, op5_token_counts, op6_substring_dedup, op7_line_dedup, op8_embedding_near_duplicates, op9_toxicity, op10_quality_rules, op11_alignment, op12_fingerprints, op13_spelling_variants)}
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

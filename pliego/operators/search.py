@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pliego.functions.text import norm
+from pliego.functions.text import clean, norm
 
 # Words of names that don't tell them apart.
 STOP = (
@@ -15,8 +15,8 @@ STOP = (
 
 
 def tokens(text: Column) -> Column:
-    """Distinct words that tell names apart."""
-    return F.filter(F.array_distinct(F.regexp_extract_all(norm(text), F.lit("[A-Z0-9]+"), F.lit(0))), lambda w: ~w.isin(*STOP))
+    """Distinct words of three letters or more that tell names apart."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(norm(text), F.lit("[A-Z0-9]+"), F.lit(0))), lambda w: (F.length(w) > 2) & ~w.isin(*STOP))
 
 
 def valid_query(text: Column, limit: int) -> Column:
@@ -27,6 +27,13 @@ def valid_query(text: Column, limit: int) -> Column:
     return F.when(F.length(t).between(2, 200), t).otherwise(F.raise_error(F.lit("a query has 2 to 200 characters")))
 
 
+def refused(asked: DataFrame, q: str) -> DataFrame:
+    """Queries that `search` doesn't answer, and why: (q, reason), reason one of short, long and common (no word that tells names apart)."""
+    t = F.trim(F.coalesce(F.col("text"), F.lit("")))
+    reason = F.when(F.length(t) < 2, "short").when(F.length(t) > 200, "long").when(~t.rlike(r"^\d+$") & (F.size(tokens(t)) == 0), "common")
+    return asked.select(q, reason.alias("reason")).where("reason is not null")
+
+
 def passes(filters: list[str], asked: str = "asked_") -> Column:
     """All filters that are given (columns `asked_<name>`) are contained in the fields of those names, in whatever case and marks."""
     out = F.lit(True)
@@ -62,16 +69,20 @@ def by_code(asked: DataFrame, catalogue: DataFrame, q: str, id_: str, code: str,
 def search(asked: DataFrame, catalogue: DataFrame, q: str, id_: str, code: str, filters: list[str], limit: int, score, least: float = 60.0) -> DataFrame:
     """(q, id, score, rank_, via) of the best rows for each query (q, text, filters): by code where it is one, else by name.
 
-    Names are scored by `score(text, name)`. Filters apply to the best min(500, max(10 * limit, 50)) of them; of what
+    Queries that are null, short or long have no rows here; `refused` tells them. Letters and digits of names
+    are scored by `score(text, name)`. Filters apply to the best min(500, max(10 * limit, 50)) of them; of what
     passes the best `limit` stay, ties by code, those without one last, and then by id.
     """
-    asked = asked.withColumn("text", valid_query(F.col("text"), limit))
+    if not 1 <= limit <= 50:
+        raise ValueError("limit must be from 1 to 50")
+    trimmed = F.trim(F.coalesce(F.col("text"), F.lit("")))
+    asked = asked.withColumn("text", trimmed).where(F.length("text").between(2, 200))
     codes = asked.select(q, F.trim("text").alias("c")).join(catalogue.select(F.col(code).alias("c")).distinct(), "c", "left_semi").where(F.col("c").rlike(r"^\d+$"))
     exact = by_code(asked, catalogue, q, id_, code, filters).select(q, id_, F.lit(100.0).alias("score"), F.lit(1).cast("long").alias("rank_"), F.lit("codigo").alias("via"))
     named = asked.join(codes.select(q), q, "left_anti").withColumnsRenamed({f: f"asked_{f}" for f in filters})
     pairs = candidates(named.select(q, "text"), catalogue.select(id_, "name"), q, id_).select(q, id_)
     whole = pairs.join(named, q).join(catalogue, id_)
-    rated = whole.withColumn("score", score(norm(F.col("text")), norm(F.col("name")))).where(F.col("score") >= least)
+    rated = whole.withColumn("score", score(clean(F.col("text")), clean(F.col("name")))).where(F.col("score") >= least)
     order = [F.desc("score"), F.coalesce(F.col(code), F.lit("~")), F.col(id_)]
     place = lambda: F.row_number().over(Window.partitionBy(q).orderBy(*order)).cast("long")
     near = rated.withColumn("n", place()).where(F.col("n") <= min(500, max(10 * limit, 50)))

@@ -12,7 +12,8 @@ from pliego.plans.base import query
 def _catalogue(t):
     """Names of investments: a document's segment, place and number, put together from customers."""
     joined = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    name = F.concat_ws(" ", "c_mktsegment", F.replace("n_name", F.lit("_"), F.lit("")), "r_name", F.concat(F.lit("TRAMO"), F.expr("c_custkey div 40")), F.concat(F.lit("LOTE"), F.col("c_custkey") % 97))
+    stretch = F.concat(F.lit("(TRAMO"), F.expr("c_custkey div 40"), F.lit(","))
+    name = F.concat_ws(" ", F.concat("c_mktsegment", F.lit(",")), F.replace("n_name", F.lit("_"), F.lit("")), "r_name", stretch, F.concat(F.lit("LOTE"), F.col("c_custkey") % 97, F.lit(").")), F.concat(F.lit("N"), F.col("c_custkey") % 7))
     return joined.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") + 2_000_000).cast("string").alias("code"), name.alias("name"), F.col("r_name").alias("place"))
 
 
@@ -23,10 +24,10 @@ def _asked(t):
     return rows.select(F.col("id").alias("q"), F.when(F.col("id") % 150 == 0, F.col("code")).otherwise(F.array_join(F.slice(words, 2, 9), " ")).alias("text"), F.when(F.col("id") % 100 == 0, F.lower("place")).alias("place"))
 
 
-SEARCHED = """k as (select c_custkey id, (c_custkey + 2000000)::varchar code, c_mktsegment || ' ' || replace(n_name, '_', '') || ' ' || r_name || ' TRAMO' || c_custkey // 40 || ' LOTE' || c_custkey % 97 "name", r_name place from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+SEARCHED = """k as (select c_custkey id, (c_custkey + 2000000)::varchar code, c_mktsegment || ', ' || replace(n_name, '_', '') || ' ' || r_name || ' (TRAMO' || c_custkey // 40 || ', LOTE' || c_custkey % 97 || '). N' || c_custkey % 7 "name", r_name place from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
 q as (select id q, case when id % 150 = 0 then code else "name"[length(split_part("name", ' ', 1)) + 2:] end "text", case when id % 100 = 0 then lower(place) end place from k where id % 50 = 0),
-w as (select id, unnest(list_distinct(regexp_extract_all("name", '[A-Z0-9]+'))) w from k), p as (select w, count(*) n from w group by 1),
-t as (select q, w, n, row_number() over (partition by q order by n, w) o from (select q, unnest(list_distinct(regexp_extract_all("text", '[A-Z0-9]+'))) w from q) join p using (w)),
+w as (select id, unnest(list_distinct(regexp_extract_all("name", '[A-Z0-9]{3,}'))) w from k), p as (select w, count(*) n from w group by 1),
+t as (select q, w, n, row_number() over (partition by q order by n, w) o from (select q, unnest(list_distinct(regexp_extract_all("text", '[A-Z0-9]{3,}'))) w from q) join p using (w)),
 u as (select q, id, min(o) o from t join w using (w) where o <= 6 and n <= 200 group by 1, 2), c as (select q, o, sum(count(*)) over (partition by q order by o) - count(*) before from u group by 1, 2)"""
 
 

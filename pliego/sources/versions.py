@@ -68,10 +68,13 @@ def pin(spark: SparkSession, root: str, load_id: str) -> None:
 def volume_gate(sources: DataFrame, source: str, whole: int = 400_000, each: int = 50_000, expected: list[str] | None = None) -> DataFrame:
     """Rows of each source: (source, n). Raises GateClosed if all are under `whole` or one (or an absent one of `expected`) is under `each`."""
     counts = sources.groupBy(source).agg(F.count("*").alias("n"))
-    found = {r[0]: r.n for r in counts.limit(1000).collect()}
-    small = sorted(str(k) for k in {*found, *(expected or [])} if found.get(k, 0) < each)
-    if small or sum(found.values()) < whole:
-        raise GateClosed(f"{sum(found.values())} rows; too few of: {', '.join(small) or 'all'}")
+    kind = sources.schema[source].dataType
+    asked = sources.sparkSession.createDataFrame([(e,) for e in expected or []], "source string").select(F.col("source").cast(kind).alias(source), F.lit(0).cast("long").alias("n"))
+    sums = counts.unionByName(asked).groupBy(source).agg(F.sum("n").alias("n"))
+    total, small = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") < each)).first()
+    if small or total < whole:
+        named = [str(r[0]) for r in sums.where(F.col("n") < each).orderBy(source).limit(20).collect()]
+        raise GateClosed(f"{total} rows; {small} with too few: {', '.join(named) or 'all'}{', ...' if small > len(named) else ''}")
     return counts
 
 
@@ -125,7 +128,7 @@ def expired(spark: SparkSession, root: str, keep: int) -> DataFrame:
 
 def purge(spark: SparkSession, root: str, keep: int) -> list[str]:
     """Delete the folders of all `expired` versions and say which; the manifest keeps their runs."""
-    gone = sorted(r.load_id for r in expired(spark, root, keep).limit(10_000).collect())
+    gone = [r.load_id for r in expired(spark, root, keep).orderBy("load_id").toLocalIterator()]
     for load_id in gone:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/load_id={load_id}")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -116,8 +116,8 @@ def test_works_stand_still(spark):
 
 
 def test_search(spark):
-    catalogue = spark.createDataFrame([(i, str(2_000_000 + i), f"HOSPITAL COMUN {'RARO' if i < 3 else f'LUGAR{i % 20}'} {i}", "Huánuco" if i % 2 else "Lima") for i in range(200)], "id long, code string, name string, place string")
-    asked = spark.createDataFrame([(1, "hospital raro 2", None), (2, "2000007", None), (3, "2000007", "lima"), (4, "hospital raro", "huanuco")], "q long, text string, place string")
+    catalogue = spark.createDataFrame([(i, str(2_000_000 + i), f"HOSPITAL COMUN {'RARO' if i < 3 else f'LUGAR{i % 20}'} {i:03}", "Huánuco" if i % 2 else "Lima") for i in range(200)], "id long, code string, name string, place string")
+    asked = spark.createDataFrame([(1, "hospital raro 002", None), (2, "2000007", None), (3, "2000007", "lima"), (4, "hospital raro", "huanuco")], "q long, text string, place string")
     found = search.candidates(asked.select("q", "text"), catalogue.select("id", "name"), "q", "id", places=100).collect()
     assert {(r.q, r.id) for r in found if r.q == 1} == {(1, 0), (1, 1), (1, 2)}
     stop = search.candidates(asked.select("q", "text"), catalogue.select("id", "name"), "q", "id", places=100, enough=0).collect()

@@ -60,14 +60,23 @@ def candidates(asked: DataFrame, catalogue: DataFrame, q: str, id_: str, first:
     return found.join(before.select(q, "token"), [q, "token"]).select(q, id_, "token")
 
 
-def by_code(asked: DataFrame, catalogue: DataFrame, q: str, id_: str, code: str, filters: list[str]) -> DataFrame:
-    """Queries of digits that are the code of a row which passes the filters: (q, id)."""
+def keyed(catalogue: DataFrame, code: str, second: str | None) -> DataFrame:
+    """Rows of a catalogue with the code that finds them (`key_`): their own, and their second one where it is no row's own."""
+    own = catalogue.withColumn("key_", F.col(code))
+    if second is None:
+        return own
+    others = catalogue.withColumn("key_", F.col(second)).where("key_ <> ''")
+    return own.unionByName(others.join(own.select("key_").distinct(), "key_", "left_anti"))
+
+
+def by_code(asked: DataFrame, catalogue: DataFrame, q: str, id_: str, code: str, filters: list[str], second: str | None = None) -> DataFrame:
+    """Queries of digits that are the code of a row which passes the filters, or, if no row has that code, its second code: (q, id)."""
     digits = asked.where(F.trim("text").rlike(r"^\d+$")).withColumnsRenamed({f: f"asked_{f}" for f in filters})
-    return digits.join(catalogue, F.trim("text") == F.col(code)).where(passes(filters)).select(q, id_)
+    return digits.join(keyed(catalogue, code, second), F.trim("text") == F.col("key_")).where(passes(filters)).select(q, id_)
 
 
-def search(asked: DataFrame, catalogue: DataFrame, q: str, id_: str, code: str, filters: list[str], limit: int, score, least: float = 60.0) -> DataFrame:
-    """(q, id, score, rank_, via) of the best rows for each query (q, text, filters): by code where it is one, else by name.
+def search(asked: DataFrame, catalogue: DataFrame, q: str, id_: str, code: str, filters: list[str], limit: int, score, least: float = 60.0, second: str | None = None) -> DataFrame:
+    """(q, id, score, rank_, via) of the best rows for each query (q, text, filters): by code (or `second` code) where it is one, else by name.
 
     Queries that are null, short or long have no rows here; `refused` tells them. Letters and digits of names
     are scored by `score(text, name)`. Filters apply to the best min(500, max(10 * limit, 50)) of them; of what
@@ -77,8 +86,8 @@ def search(asked: DataFrame, catalogue: DataFrame, q: str, id_: str, code: str,
         raise ValueError("limit must be from 1 to 50")
     trimmed = F.trim(F.coalesce(F.col("text"), F.lit("")))
     asked = asked.withColumn("text", trimmed).where(F.length("text").between(2, 200))
-    codes = asked.select(q, F.trim("text").alias("c")).join(catalogue.select(F.col(code).alias("c")).distinct(), "c", "left_semi").where(F.col("c").rlike(r"^\d+$"))
-    exact = by_code(asked, catalogue, q, id_, code, filters).select(q, id_, F.lit(100.0).alias("score"), F.lit(1).cast("long").alias("rank_"), F.lit("codigo").alias("via"))
+    codes = asked.select(q, F.trim("text").alias("c")).join(keyed(catalogue, code, second).select(F.col("key_").alias("c")).distinct(), "c", "left_semi").where(F.col("c").rlike(r"^\d+$"))
+    exact = by_code(asked, catalogue, q, id_, code, filters, second).select(q, id_, F.lit(100.0).alias("score"), F.lit(1).cast("long").alias("rank_"), F.lit("codigo").alias("via"))
     named = asked.join(codes.select(q), q, "left_anti").withColumnsRenamed({f: f"asked_{f}" for f in filters})
     pairs = candidates(named.select(q, "text"), catalogue.select(id_, "name"), q, id_).select(q, id_)
     whole = pairs.join(named, q).join(catalogue, id_)

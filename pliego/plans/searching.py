@@ -43,6 +43,18 @@ def search_by_code(t):
     return search.by_code(_asked(t), _catalogue(t), "q", "id", "code", ["place"]).select("q", "id", F.lit(True).alias("exact_"))
 
 
+@query("""with k as (select p_partkey id, (p_partkey * 2)::varchar code, case when p_partkey % 9 > 0 then (p_partkey * 3)::varchar else '' end snip, p_brand brand from part),
+q as (select l_orderkey, l_linenumber, (l_partkey + l_suppkey)::varchar "text" from lineitem)
+select l_orderkey, l_linenumber, id from q join k on "text" = code union all
+select l_orderkey, l_linenumber, id from q join k on "text" = snip where "text" not in (select code from k)""")
+def search_by_either_code(t):
+    """Numbers that are the code of a part, or, where no part has such a code, a part's second code."""
+    k = F.col("p_partkey")
+    parts = t("part").select(k.alias("id"), (k * 2).cast("string").alias("code"), F.when(k % 9 > 0, (k * 3).cast("string")).otherwise("").alias("snip"))
+    asked = t("lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("q"), (F.col("l_partkey") + F.col("l_suppkey")).cast("string").alias("text"))
+    return search.by_code(asked, parts, "q", "id", "code", [], "snip").select("q.l_orderkey", "q.l_linenumber", "id")
+
+
 @query()
 def investment_search(t):
     """The whole search: the code, else the ten best names with a score of 60 or more, among many more before filters."""

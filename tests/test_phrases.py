@@ -79,3 +79,10 @@ def test_search_cleans_names_and_refuses_alone(spark):
     got = {(r.q, r.id): r.score for r in search.search(asked, catalogue, "q", "id", "code", ["place"], 10, token_set_of).collect()}
     assert got[1, 1] == 100 and got[6, 2] == 100 and {q for q, _ in got} == {1, 6}
     assert {(r.q, r.reason) for r in search.refused(asked, "q").collect()} == {(2, "short"), (3, "short"), (4, "long"), (5, "common")}
+
+
+def test_second_codes_find_rows_that_no_code_does(spark):
+    catalogue = spark.createDataFrame([(1, "10", "77", "PUENTE"), (2, "77", "88", "POSTA"), (3, None, "88", "CANAL"), (4, "", None, "PRESA")], "id long, code string, snip string, name string")
+    asked = spark.createDataFrame([(1, "10"), (2, "77"), (3, " 88 "), (4, "99")], "q long, text string")
+    got = {(r.q, r.id, r.via) for r in search.search(asked, catalogue, "q", "id", "code", [], 10, token_set_of, second="snip").collect()}
+    assert got == {(1, 1, "codigo"), (2, 2, "codigo"), (3, 2, "codigo"), (3, 3, "codigo")}

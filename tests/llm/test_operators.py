@@ -529,6 +529,42 @@ def test_vectors_in_several_blocks(spark, monkeypatch, cells):
     assert {r.vec_id: r.n_links for r in covertree.near_vectors(frame, 0.9).collect()} == {i: int(linked[i].sum() - 1) for i in range(300)}
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_in_cones(spark, monkeypatch, kind):
+    """Many vectors of many dimensions: links just over the threshold, dense groups and copies, over several rounds and parts."""
+    for name, value in (("BLOCK", 200), ("CONE", 20), ("TASK", 300), ("ROUND", 0)):
+        monkeypatch.setattr(covertree, name, value)
+    rng = np.random.default_rng(21)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    flat = unit(rng.normal(size=(500, 32)))
+    across = rng.normal(size=(200, 32))
+    across = unit(across - (across * flat[:200]).sum(1)[:, None] * flat[:200])
+    edge = 0.902 * flat[:200] + np.sqrt(1 - 0.902**2) * across  # partners just over the threshold
+    dense = unit(flat[300] + rng.normal(size=(150, 32)) * 0.03)
+    vectors = np.concatenate([flat, edge, dense, flat[:20]]).astype(np.float32 if kind == "float" else np.float64)
+    x = unit(vectors.astype(np.float64))
+    linked = x @ x.T >= 0.9
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], f"vec_id long, embedding array<{kind}>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_vectors(frame, 0.9).collect()}
+    group = np.arange(len(x))
+    while (least := np.where(linked, group[None], len(x)).min(1)).tolist() != group.tolist():
+        group = least
+    assert got == {i: (int(linked[i].sum() - 1), int(group[i])) for i in range(len(x))}
+
+
+def test_cones_leave_out_most_pairs():
+    """Vectors without structure, where trees alone look at all pairs: the cones of all tables hold fewer, and more so the more vectors there are."""
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(40_000, 64))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    shares = []
+    for count in (10_000, 40_000):
+        tables = covertree.axes_of(count, 64, 0.9)
+        sizes = [np.unique(covertree.cones(covertree.rounded(points[:count]), t), return_counts=True)[1] for t in tables[:3]]
+        shares.append(len(tables) * np.mean([(s * (s - 1) / 2).sum() for s in sizes]) / (count * (count - 1) / 2))
+    assert shares[1] < shares[0] / 2 and shares[1] < 0.8
+
+
 def test_mix_salts_many_sources(spark, monkeypatch):
     rows = [(i, "w " * (1 + i % 9), "en", f"s{i % 5}") for i in range(500)] + TEXTS
     frame = spark.createDataFrame(rows, SCHEMA)

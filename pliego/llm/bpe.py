@@ -30,8 +30,10 @@ def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-#: Entries after which a worker's memo starts anew.
-MEMO = 100_000
+#: Entries after which a worker's memo starts anew; the one before is kept beside it, so that frequent pre-tokens stay.
+MEMO = 200_000
+#: Bytes up to which longest matches are found by trying each length in a dictionary.
+SHORT = 32
 
 
 class Codec:
@@ -45,11 +47,13 @@ class Codec:
         self.shorter: dict[int, int] = {}
         self.fits: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = {}, {}
-        self.memo: dict[str, bytes] = {}
+        self.memo = Packed(self)
+        self.known: dict[bytes, int] = {}
         automaton = ahocorasick.Automaton()
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             parts = [i] if len(token) == 1 else self._halve(token, i)
             if parts:
+                self.known[token] = i
                 automaton.add_word(token.decode("latin-1"), (len(token), i))
         automaton.make_automaton()
         self.matches = automaton.iter
@@ -117,21 +121,33 @@ class Codec:
         if piece in self.ranks:
             return [self.ranks[piece]]
         count = len(piece)
-        longest, sizes = [-1] * count, [0] * count
-        for end, (size, token) in self.matches(piece.decode("latin-1")):
-            if size > sizes[end - size + 1]:
-                sizes[end - size + 1], longest[end - size + 1] = size, token
-        length, shorter, fit = self.sizes, self.shorter, self.fit
+        longest = [-1] * count
+        if count > SHORT:
+            sizes = [0] * count
+            for end, (size, token) in self.matches(piece.decode("latin-1")):
+                if size > sizes[end - size + 1]:
+                    sizes[end - size + 1], longest[end - size + 1] = size, token
+        length, shorter, fits, known = self.sizes, self.shorter, self.fits, self.known
         alive = bytearray(b"\x01") * (count + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token = 0, -1
         while at < count:
+            if token < 0:
+                token = longest[at]
+                if token < 0:
+                    end = count
+                    while (token := known.get(piece[at:end], -1)) < 0:
+                        end -= 1
+                    longest[at] = token
             end = at + length[token]
-            if alive[end] and (not out or fit(out[-1], token)):
+            fit = alive[end]
+            if fit and out:
+                fit = fits.get(out[-1] << 32 | token)
+                if fit is None:
+                    fit = self.fit(out[-1], token)
+            if fit:
                 out.append(token)
-                at = end
-                if at < count:
-                    token = longest[at]
+                at, token = end, -1
             elif token in shorter:
                 token = shorter[token]
             else:
@@ -143,19 +159,30 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
-        memo = self.memo
-        if len(memo) > MEMO or len(self.fits) > 2 * MEMO:
-            memo.clear()
-            self.fits.clear()
-        out = []
-        for piece in self.split(text):
-            packed = memo.get(piece)
-            if packed is None:
-                packed = memo[piece] = pack(self.encode_piece(piece.encode("utf-8")))
-            out.append(packed)
+        pieces, out = self.split(text), []
+        for start in range(0, len(pieces), MEMO):
+            if len(self.memo) > MEMO:
+                self.memo = Packed(self, dict(self.memo))
+            if len(self.fits) > 2 * MEMO:
+                self.fits.clear()
+            out += map(self.memo.__getitem__, pieces[start : start + MEMO])
         return b"".join(out)
 
 
+class Packed(dict):
+    """Packed ids of pre-tokens, taken from the memo before or made when they are first asked for."""
+
+    def __init__(self, own: Codec, before: dict[str, bytes] | None = None):
+        self.own, self.before = own, before or {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.before.get(piece)
+        if found is None:
+            found = pack(self.own.encode_piece(piece.encode("utf-8")))
+        self[piece] = found
+        return found
+
+
 class Counts(dict):
     """Token counts of pre-tokens, made when they are first asked for."""
 
@@ -189,11 +216,13 @@ _TEXTS: dict[int, dict[int, bytes]] = {}
 
 
 def token_texts(data: bytes) -> dict[int, bytes]:
-    """A worker's byte strings of all ids: all that decoding needs. An encoder's tables that it held go."""
+    """A worker's byte strings of all ids: all that decoding needs. A codec of the same data that it holds has them, and stays for the tasks to come."""
     key = hash(data)
+    for (held, _), own in _CODECS.items():
+        if held == key:
+            return own.texts
     if key not in _TEXTS:
         _TEXTS.clear()
-        _CODECS.clear()
         _TEXTS[key] = {i: b for b, i in parse_ranks(data).items()}
     return _TEXTS[key]
 

@@ -565,6 +565,21 @@ def test_cones_leave_out_most_pairs():
     assert shares[1] < shares[0] / 2 and shares[1] < 0.8
 
 
+def test_bpe_memo_keeps_frequent_pieces(monkeypatch):
+    """A pre-token that comes again and again is encoded once, however many others pass; decoding leaves the encoder's tables."""
+    monkeypatch.setattr(bpe, "MEMO", 50)
+    data, pattern = ranks()
+    own = bpe.codec(data, pattern)
+    own.memo = type(own.memo)(own)
+    seen, encode_piece = [], own.encode_piece
+    monkeypatch.setattr(own, "encode_piece", lambda piece: seen.append(piece) or encode_piece(piece))
+    texts = [f"again x{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(600)]
+    packed = [own.encode(t) for t in texts]
+    assert seen.count(b"again") == 1 and len(own.memo) <= 51
+    held = bpe.token_texts(data)
+    assert [bpe.decode_ids(p, held).decode() for p in packed] == texts and bpe.codec(data, pattern) is own
+
+
 def test_mix_salts_many_sources(spark, monkeypatch):
     rows = [(i, "w " * (1 + i % 9), "en", f"s{i % 5}") for i in range(500)] + TEXTS
     frame = spark.createDataFrame(rows, SCHEMA)

@@ -31,8 +31,10 @@ from pliego.llm.common import cut, removed, written
 from pliego.llm.tables import fixed_table, narrowed
 
 BUCKET_BITS, NEAREST, GROWTH, LIST = 16, 4, 1024, 50_000
-#: Lines with over LONG words have parities of 256 bits, others of 128: random sets must be further apart than similar ones may be.
-LONG = 128
+#: Lines with over LONG words have parities of 256 bits, with over MIDDLE of 128, others of 64: random sets must be further apart than similar ones may be.
+MIDDLE, LONG = 64, 128
+#: Buckets of a table that counts listed words: where none has over LIST, no word has.
+WORD_BITS = 17
 #: Pairs of a list that are held at a time.
 PAIRS = 200_000
 
@@ -52,7 +54,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 class Lines:
-    """The lines of one piece of a batch that have at least `least` distinct words."""
+    """The lines of one piece of a batch that have at least `least` distinct words. Parities are made where `level` is given."""
 
     def __init__(self, column: pa.Array, least: int, level: np.ndarray | None):
         data, offsets = W.raw(column)
@@ -84,15 +86,17 @@ class Lines:
             pairs = np.stack([head, head + size], 1).ravel()
             padded = np.append(hashed, np.uint64(0))
             self.key = W.mix(np.add.reduceat(W.mix(padded), pairs)[::2] + size.astype(np.uint64))
+        if len(head) and level is not None:
             bit = W.mix(padded)
             one, part = np.uint64(1) << (bit >> np.uint64(58)), (bit >> np.uint64(56)) & np.uint64(3)
             quarters = [np.bitwise_xor.reduceat(np.where(part == i, one, np.uint64(0)), pairs)[::2] for i in range(4)]
-            long = np.where(size > LONG, ~np.uint64(0), np.uint64(0))
-            # halves of 128 bits, and what is in the upper two quarters of 256
-            self.parity = [quarters[0] ^ quarters[2], quarters[1] ^ quarters[3], quarters[2] & long, quarters[3] & long]
+            middle, long = (np.where(size > most, ~np.uint64(0), np.uint64(0)) for most in (MIDDLE, LONG))
+            # all folded to 64 bits, what is in the upper half of 128, and what is in the upper two quarters of 256
+            upper = quarters[1] ^ quarters[3]
+            self.parity = [quarters[0] ^ quarters[2] ^ upper, upper & middle, quarters[2] & long, quarters[3] & long]
         else:
-            self.key = np.zeros(0, np.uint64)
-            self.parity = [self.key] * 4
+            self.key = self.key if len(head) else np.zeros(0, np.uint64)
+            self.parity = [np.zeros(len(head), np.uint64)] * 4
 
     def words(self, chosen: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The first `counts` words of chosen lines: the places in `chosen`, the places in the line, the words."""
@@ -142,8 +146,25 @@ def dealt(lines: DataFrame, percent: int) -> DataFrame:
     Any two entries of a word whose sizes are within `percent` of each other meet in one of its parts.
     """
     listed = entries(lines)
-    hot = cut(listed.groupBy("word").agg(F.count("*").alias("m")).where(F.col("m") > LIST).select("word"))
     whole = listed.withColumn("list", F.col("word").cast("long"))
+
+    def bucket(word: np.ndarray) -> np.ndarray:
+        return (W.mix(word.astype(np.int64).view(np.uint64)) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+    def fill(batch: pa.RecordBatch, table: np.ndarray) -> None:
+        table += np.bincount(bucket(batch.column("words").flatten().to_numpy()), minlength=len(table))
+
+    full = fixed_table(lines.select("words"), fill, 2**WORD_BITS, "<i8", lambda parts: np.sum(parts, axis=0)) > LIST
+    if not full.any():
+        return whole
+    shared = lines.sparkSession.sparkContext.broadcast(full)
+
+    def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = batch.column("words").flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(word[shared.value[bucket(word)]])], names=["word"])
+
+    hot = cut(lines.select("words").mapInArrow(some, "word int").groupBy("word").agg(F.count("*").alias("m")).where(F.col("m") > LIST).select("word"))
     if not hot.limit(1).count():
         return whole
     step = F.floor(F.ln("n") / math.log(100.1 / percent)).cast("int")
@@ -166,7 +187,10 @@ def candidates(listed: DataFrame, percent: int, skip: int, upto: int) -> DataFra
     """
     if "open" not in listed.columns:
         listed = listed.withColumn("open", F.lit(True))
-    ordered = listed.drop("word").repartition("list").sortWithinPartitions("list")
+    # few and full columns: this is the largest shuffle
+    place, spot = F.shiftleft(F.col("n").cast("long"), 32) + F.col("at"), F.shiftleft(F.col("line").cast("long"), 1) + F.col("open").cast("long")
+    packed = listed.select("list", "class", PARITIES[0], "doc_id", spot.alias("spot"), place.alias("place"), *PARITIES[1:])
+    ordered = packed.repartition("list").sortWithinPartitions("list")
 
     def passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, left: np.ndarray, parity: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs left by the positional and parity filters, cheapest first, and how far parities are apart."""
@@ -174,15 +198,19 @@ def candidates(listed: DataFrame, percent: int, skip: int, upto: int) -> DataFra
         need = -(-percent * both // (100 + percent))
         enough = np.minimum(left[i], left[j]) >= need
         i, j, spare = i[enough], j[enough], (both - 2 * need)[enough]
-        one, two, three, four = (p[i] ^ p[j] for p in parity)
-        apart = np.bitwise_count(one).astype(np.int32) + np.bitwise_count(two)
-        close = apart <= spare
-        i, j, spare, apart = i[close], j[close], spare[close], apart[close]
-        both = (n[i] > LONG) & (n[j] > LONG)
-        one, two, three, four = (x[close][both] for x in (one, two, three, four))
-        apart[both] = sum(np.bitwise_count(x).astype(np.int32) for x in (one ^ three, two ^ four, three, four))
+        one = parity[0][i] ^ parity[0][j]
+        apart = np.bitwise_count(one).astype(np.int32)
         close = apart <= spare
-        return i[close], j[close], apart[close]
+        i, j, spare, apart, one = i[close], j[close], spare[close], apart[close], one[close]
+        for most in (MIDDLE, LONG):
+            both = np.flatnonzero((n[i] > most) & (n[j] > most))
+            two, three, four = (p[i[both]] ^ p[j[both]] for p in parity[1:])
+            halves = one[both] ^ two, two
+            parts = halves if most == MIDDLE else (halves[0] ^ three, halves[1] ^ four, three, four)
+            apart[both] = sum(np.bitwise_count(x).astype(np.int32) for x in parts)
+            close = apart <= spare
+            i, j, spare, apart, one = i[close], j[close], spare[close], apart[close], one[close]
+        return i, j, apart
 
     def one_piece(word, doc, line, cls, n, at, wanted, *parity) -> Iterator[tuple[np.ndarray, ...]]:
         """Candidates in whole lists, as CANDIDATE has them."""
@@ -241,13 +269,14 @@ def candidates(listed: DataFrame, percent: int, skip: int, upto: int) -> DataFra
             yield cls[later], cls[earlier], more[later], doc[later], doc[earlier]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("list", "doc_id", "line", "class", "n", "at", "open", *PARITIES)
+        names = ("list", "doc_id", "spot", "class", "place", *PARITIES)
         rest: list[list[np.ndarray]] = []
 
         def made(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            columns[7:] = [x.view(np.uint64) for x in columns[7:]]
-            for found in one_piece(*columns):
+            word, doc, spot, cls, place, *parity = columns
+            parity = [x.view(np.uint64) for x in parity]
+            for found in one_piece(word, doc, spot >> 1, cls, (place >> 32).astype(np.int32), (place & 0xFFFFFFFF).astype(np.int32), (spot & 1).astype(bool), *parity):
                 if len(found[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=[c.split()[0] for c in CANDIDATE.split(", ")])
 

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -580,6 +581,16 @@ def test_bpe_memo_keeps_frequent_pieces(monkeypatch):
     assert [bpe.decode_ids(p, held).decode() for p in packed] == texts and bpe.codec(data, pattern) is own
 
 
+def test_parities_of_all_sizes():
+    """Parities differ in fewer places than their sets, and lines up to MIDDLE words have 64 bits only."""
+    sizes = (3, lines.MIDDLE, lines.MIDDLE + 1, lines.LONG + 1)
+    made = lines.Lines(pa.array([" ".join(f"w{k}" for k in range(n)) + (" more" if again else "") for n in sizes for again in (0, 1)]), 1, np.zeros(2**lines.BUCKET_BITS, np.uint8))
+    assert made.size.tolist() == [n + k for n in sizes for k in (0, 1)]
+    apart = [int(np.bitwise_count(made.parity[0][k] ^ made.parity[0][k + 1])) for k in range(0, 8, 2)]
+    assert apart == [1, 1, 1, 1]
+    assert [bool(x) for x in made.parity[1][:3]] == [False] * 3 and made.parity[1][3:].all() and not made.parity[2][:6].any() and made.parity[2][6:].all()
+
+
 def test_mix_salts_many_sources(spark, monkeypatch):
     rows = [(i, "w " * (1 + i % 9), "en", f"s{i % 5}") for i in range(500)] + TEXTS
     frame = spark.createDataFrame(rows, SCHEMA)

@@ -13,13 +13,14 @@ only lines for which none of them is verified, and which had more, get the next
 many, and so on until no line is left: however large a family of lines, no round gives out all its pairs.
 
 A list with over LIST entries is dealt out: by steps of size, of which only neighbours can match, and
-each such part as pairs of blocks, so no task holds a whole list.
+each such part as pairs of blocks, so no task holds a whole list. Entries travel as matrices, one for
+the lists of a bucket in a stretch of lines.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pliego.llm import words as W
 from pliego.llm.common import cut, removed, written
-from pliego.llm.tables import fixed_table, narrowed
+from pliego.llm.tables import fixed_table, narrowed, passed_by
 
 BUCKET_BITS, NEAREST, GROWTH, LIST = 16, 4, 1024, 50_000
 #: Lines with over LONG words have parities of 256 bits, with over MIDDLE of 128, others of 64: random sets must be further apart than similar ones may be.
@@ -37,6 +38,8 @@ MIDDLE, LONG = 64, 128
 WORD_BITS = 17
 #: Pairs of a list that are held at a time.
 PAIRS = 200_000
+#: Entries that are packed at a time, and entries of a bucket of lists: a bucket is compared at once.
+PACKED, BUCKET = 250_000, 100_000
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -135,62 +138,123 @@ def compared(docs: DataFrame, level: np.ndarray, least: int, percent: int) -> Da
     return docs.mapInArrow(work, LINE)
 
 
-def entries(lines: DataFrame) -> DataFrame:
-    """Lines under each of their words, with the word's place."""
-    return lines.select(F.posexplode("words").alias("at", "word"), "doc_id", "line", "class", "n", *PARITIES)
+ENTRY = ("list", "class", PARITIES[0], "doc_id", "spot", "place", *PARITIES[1:])
 
 
-def dealt(lines: DataFrame, percent: int) -> DataFrame:
-    """`entries`, each in the lists in which it is compared: that of its word, or if that is over LIST parts of it.
+def listed(batch: pa.RecordBatch, chosen: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """ENTRY's columns: the lines of a batch under those of their words that are chosen. The list is the word.
 
-    Any two entries of a word whose sizes are within `percent` of each other meet in one of its parts.
+    `spot`: the line and, in the lowest bit, whether it gets candidates; `place`: its size and the word's place, of 32 bits each.
     """
-    listed = entries(lines)
-    whole = listed.withColumn("list", F.col("word").cast("long"))
+    lists = batch.column("words")
+    counts = np.diff(lists.offsets.to_numpy())
+    own = np.repeat(np.arange(batch.num_rows), counts)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    word = lists.flatten().to_numpy().view(np.uint32).astype(np.int64)
+    some = chosen(word)
+    own, at, word = own[some], at[some], word[some]
+    of = {c: batch.column(c).to_numpy() for c in ("class", "doc_id", "line", "n", *PARITIES)}
+    spot, place = of["line"].astype(np.int64) << 1 | 1, of["n"].astype(np.int64) << 32
+    return [word, of["class"][own], of[PARITIES[0]][own], of["doc_id"][own], spot[own], place[own] | at, *(of[p][own] for p in PARITIES[1:])]
 
-    def bucket(word: np.ndarray) -> np.ndarray:
-        return (W.mix(word.astype(np.int64).view(np.uint64)) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+def entries(lines: DataFrame, chosen: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """`listed` as rows."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in listed(batch, chosen)], names=list(ENTRY))
+
+    return lines.mapInArrow(work, ", ".join(f"{c} long" for c in ENTRY))
+
+
+def packed(columns: np.ndarray) -> bytes:
+    """A matrix of longs, byte by byte of the longs: the bytes that are zero in a whole column are left out."""
+    planes = np.ascontiguousarray(columns).view(np.uint8).reshape(*columns.shape, 8).transpose(0, 2, 1).reshape(-1, columns.shape[1])
+    some = planes.any(1)
+    some[0] = True  # it tells the length
+    return np.packbits(some).tobytes() + planes[some].tobytes()
+
+
+def unpacked(block: bytes, count: int) -> np.ndarray:
+    """The matrix of `count` columns that `packed` made."""
+    head = count  # eight bits for each column
+    some = np.unpackbits(np.frombuffer(block, np.uint8, head)).astype(bool)
+    found = np.frombuffer(block, np.uint8, offset=head).reshape(int(some.sum()), -1)
+    planes = np.zeros((8 * count, found.shape[1]), np.uint8)
+    planes[some] = found
+    return np.ascontiguousarray(planes.reshape(count, 8, -1).transpose(0, 2, 1)).view(np.int64).reshape(count, -1)
+
+
+def blocks(frame: DataFrame, read: Callable[[pa.RecordBatch], list[np.ndarray]], buckets: int) -> DataFrame:
+    """(bucket, block): the entries that `read` finds in a batch, those of one bucket of lists together."""
+
+    def made(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = np.stack([np.concatenate(x) for x in zip(*held, strict=True)])
+        bucket = (W.mix(columns[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        columns, bucket = columns[:, order], bucket[order]
+        ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+        starts = np.concatenate([[0], ends[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([packed(columns[:, a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["bucket", "block"])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(read(batch))
+            count += len(held[-1][0])
+            if count >= PACKED:
+                yield made(held)
+                held, count = [], 0
+        if count:
+            yield made(held)
+
+    return frame.mapInArrow(work, "bucket int, block binary")
+
+
+def rows_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy() for c in ENTRY]
+
+
+def word_bucket(word: np.ndarray) -> np.ndarray:
+    return (W.mix(word.astype(np.int64).view(np.uint64)) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+
+def dealt(lines: DataFrame, percent: int) -> tuple[Callable[[np.ndarray], np.ndarray], DataFrame | None, int]:
+    """Which words have a list of their own, `entries` of all others in the lists in which they are compared, and the number of buckets.
+
+    Of a word with over LIST entries any two whose sizes are within `percent` of each other meet in one of its parts.
+    """
 
     def fill(batch: pa.RecordBatch, table: np.ndarray) -> None:
-        table += np.bincount(bucket(batch.column("words").flatten().to_numpy()), minlength=len(table))
+        table += np.bincount(word_bucket(batch.column("words").flatten().to_numpy().view(np.uint32)), minlength=len(table))
 
-    full = fixed_table(lines.select("words"), fill, 2**WORD_BITS, "<i8", lambda parts: np.sum(parts, axis=0)) > LIST
+    counts = fixed_table(lines.select("words"), fill, 2**WORD_BITS, "<i8", lambda parts: np.sum(parts, axis=0))
+    buckets = max(int(counts.sum()) // BUCKET, 4 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    full = counts > LIST
     if not full.any():
-        return whole
+        return lambda word: np.ones(len(word), bool), None, buckets
     shared = lines.sparkSession.sparkContext.broadcast(full)
-
-    def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word = batch.column("words").flatten().to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(word[shared.value[bucket(word)]])], names=["word"])
-
-    hot = cut(lines.select("words").mapInArrow(some, "word int").groupBy("word").agg(F.count("*").alias("m")).where(F.col("m") > LIST).select("word"))
-    if not hot.limit(1).count():
-        return whole
-    step = F.floor(F.ln("n") / math.log(100.1 / percent)).cast("int")
-    stepped = listed.join(hot, "word", "left_semi").withColumn("step", F.explode(F.array(step, step - 1)))
-    blocks = stepped.groupBy("word", "step").agg(F.ceil(F.count("*") / LIST).cast("int").alias("blocks"))
+    others = entries(lines, lambda word: shared.value[word_bucket(word)])
+    hot = cut(others.groupBy("list").agg(F.count("*").alias("m")).where(F.col("m") > LIST).select("list"))
+    step = F.floor(F.ln(F.shiftright("place", 32)) / math.log(100.1 / percent)).cast("int")
+    stepped = others.join(hot, "list", "left_semi").withColumn("step", F.explode(F.array(step, step - 1)))
+    sizes = stepped.groupBy("list", "step").agg(F.ceil(F.count("*") / LIST).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("class"), "blocks").cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
-    parts = stepped.join(blocks, ["word", "step"]).withColumn("pair", F.explode(pairs)).withColumn("list", F.xxhash64("word", "step", "pair"))
-    return whole.join(hot, "word", "left_anti").unionByName(parts.drop("step", "blocks", "pair"))
+    parts = stepped.join(sizes, ["list", "step"]).withColumn("pair", F.explode(pairs)).withColumn("list", F.xxhash64("list", "step", "pair"))
+    return lambda word: ~shared.value[word_bucket(word)], others.join(hot, "list", "left_anti").unionByName(parts.select(*ENTRY)).select(*ENTRY), buckets
 
 
 CANDIDATE = "later long, earlier long, more boolean, later_doc long, earlier_doc long"
 
 
-def candidates(listed: DataFrame, percent: int, skip: int, upto: int) -> DataFrame:
+def candidates(packs: DataFrame, percent: int, skip: int, upto: int) -> DataFrame:
     """Pairs of classes that pass the filters: for each line of a list its nearest earlier ones, from number `skip` up to `upto`.
 
-    `more`: the list has others beyond. Where `listed` has a column `open`, only lines with it get any. Each class has
-    the doc_id of its first line, since that is in all of its lists.
+    `packs`: from `blocks`. `more`: the list has others beyond. Each class has the doc_id of its first line, since that is in all of its lists.
     """
-    if "open" not in listed.columns:
-        listed = listed.withColumn("open", F.lit(True))
-    # few and full columns: this is the largest shuffle
-    place, spot = F.shiftleft(F.col("n").cast("long"), 32) + F.col("at"), F.shiftleft(F.col("line").cast("long"), 1) + F.col("open").cast("long")
-    packed = listed.select("list", "class", PARITIES[0], "doc_id", spot.alias("spot"), place.alias("place"), *PARITIES[1:])
-    ordered = packed.repartition("list").sortWithinPartitions("list")
+    ordered = packs.repartition("bucket").sortWithinPartitions("bucket")
 
     def passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, left: np.ndarray, parity: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs left by the positional and parity filters, cheapest first, and how far parities are apart."""
@@ -268,30 +332,25 @@ def candidates(listed: DataFrame, percent: int, skip: int, upto: int) -> DataFra
             later, earlier = later[number >= skip], earlier[number >= skip]
             yield cls[later], cls[earlier], more[later], doc[later], doc[earlier]
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("list", "doc_id", "spot", "class", "place", *PARITIES)
-        rest: list[list[np.ndarray]] = []
-
-        def made(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            word, doc, spot, cls, place, *parity = columns
-            parity = [x.view(np.uint64) for x in parity]
-            for found in one_piece(word, doc, spot >> 1, cls, (place >> 32).astype(np.int32), (place & 0xFFFFFFFF).astype(np.int32), (spot & 1).astype(bool), *parity):
-                if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=[c.split()[0] for c in CANDIDATE.split(", ")])
+    def made(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        word, cls, first, doc, spot, place, *rest = np.concatenate(held, axis=1)
+        parity = [x.view(np.uint64) for x in (first, *rest)]
+        for found in one_piece(word, doc, spot >> 1, cls, (place >> 32).astype(np.int32), (place & 0xFFFFFFFF).astype(np.int32), (spot & 1).astype(bool), *parity):
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=[c.split()[0] for c in CANDIDATE.split(", ")])
 
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        last = -1
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            # the last list may go on in the next batch
-            done = int(np.searchsorted(now[0], now[0][-1]))
-            if done or (rest and rest[-1][0][-1] != now[0][0]):
-                yield from made([*rest, [x[:done] for x in now]])
-                rest = []
-            rest.append([x[done:] for x in now])
-        if rest:
-            yield from made(rest)
+            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block"), strict=True):
+                if bucket != last and held:
+                    yield from made(held)
+                    held = []
+                last = bucket
+                held.append(unpacked(block.as_buffer(), len(ENTRY)))
+        if held:
+            yield from made(held)
 
     # one pair may come from several lists
     return ordered.mapInArrow(work, CANDIDATE).groupBy("later", "earlier").agg(F.max("more").alias("more"), F.min("later_doc").alias("later_doc"), F.min("earlier_doc").alias("earlier_doc"))
@@ -330,6 +389,21 @@ def verified(docs: DataFrame, pairs: DataFrame, least: int, percent: int) -> Dat
     return cut(joined.select("later", "a", "b").mapInArrow(compare, "class long").distinct())
 
 
+def lists_of(seen: DataFrame, single: Callable[[np.ndarray], np.ndarray], others: DataFrame | None, left: DataFrame) -> DataFrame:
+    """`entries` of all lists that hold a class of `left`, of which only those classes get candidates."""
+    # tests of fixed size go before any shuffle: what they let through beside these lists finds nothing
+    some = entries(narrowed(seen, left, "class"), single).select("list")
+    if others is not None:
+        some = some.unionByName(narrowed(others, left, "class").select("list"))
+    some = cut(some.distinct())
+    passes = passed_by(some, "list")
+    rest = entries(seen, lambda word: single(word) & passes(word))
+    if others is not None:
+        rest = rest.unionByName(narrowed(others, some, "list"))
+    marked = rest.join(left.withColumn("open", F.lit(1).cast("long")), "class", "left")
+    return marked.withColumn("spot", F.col("spot") - 1 + F.coalesce("open", F.lit(0).cast("long"))).select(*ENTRY)
+
+
 def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFrame:
     """(doc_id, line, class) of the lines to remove: those with an earlier match, by doc_id and line number.
 
@@ -338,20 +412,21 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     """
     seen = written(compared(docs, rarity(docs), least, percent))
     firsts = written(seen.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("m")).select("class", "m.*"))
-    listed = dealt(seen, percent)
+    single, others, buckets = dealt(seen, percent)
     skip, upto, gone = 0, NEAREST, None
-    pairs = written(candidates(listed, percent, skip, upto))
+    packs = blocks(seen, lambda batch: listed(batch, single), buckets)
+    if others is not None:
+        packs = packs.unionByName(blocks(others, rows_of, buckets))
+    pairs = written(candidates(packs, percent, skip, upto))
     while True:
         found = verified(docs, pairs, least, percent)
         gone = found if gone is None else gone.unionByName(found)
         left = cut(pairs.where("more").select(F.col("later").alias("class")).distinct().join(gone, "class", "left_anti"))
         if not left.limit(1).count():
             break
-        lists = listed.join(left, "class", "left_semi").select("list").distinct()
-        rest = listed.join(lists, "list", "left_semi").join(left.withColumn("open", F.lit(True)), "class", "left").withColumn("open", F.coalesce("open", F.lit(False)))
         skip, upto = upto, GROWTH * upto
         removed(pairs)
-        pairs = written(candidates(rest, percent, skip, upto))
+        pairs = written(candidates(blocks(lists_of(seen, single, others, left), rows_of, buckets), percent, skip, upto))
     removed(pairs)
     marks = firsts.join(gone.withColumn("gone", F.lit(True)), "class", "left").select("class", F.col("doc_id").alias("d"), F.col("line").alias("l"), F.coalesce("gone", F.lit(False)).alias("gone"))
     joined = seen.select("doc_id", "line", "class").join(marks, "class")
@@ -367,8 +442,9 @@ def remove_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFram
     texts stay null; rows without a doc_id stay as they are. Columns named n_lines and n_removed are replaced.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
-    rows = row.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+    # the text goes beside the other columns, not among them too
+    others = F.struct(*[F.col(f"`{c}`") for c in rest if c != "text"])
+    rows = docs.select(others.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = repeated_lines(rows.select("doc_id", "text").where("doc_id is not null"), percent, least)
     per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "class")).alias("gone"))
     joined = rows.join(per_doc, "doc_id", "left").select("row", "text", "gone")

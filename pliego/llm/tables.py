@@ -38,10 +38,10 @@ def fixed_table(frame: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], N
     return np.concatenate([np.frombuffer(r.part, kind) for r in sorted(rows)]) if rows else np.zeros(size, kind)
 
 
-def narrowed(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """`docs` without most of those that `needed` (doc_id) doesn't hold: a filter before any shuffle.
+def passed_by(needed: DataFrame, column: str = "doc_id") -> Callable[[np.ndarray], np.ndarray]:
+    """A test for tasks that all values in a column of longs pass, and few others.
 
-    It has 32 megabytes at most; beyond some thirty million wanted rows it drops ever less, and never a wanted one.
+    It has 32 megabytes at most; beyond some thirty million rows ever more pass.
     """
     bits = min(max((8 * needed.count()).bit_length(), LEAST_BITS), MOST_BITS)
 
@@ -49,15 +49,25 @@ def narrowed(docs: DataFrame, needed: DataFrame) -> DataFrame:
         return (W.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def fill(batch: pa.RecordBatch, table: np.ndarray) -> None:
-        at = places(batch.column("doc_id").to_numpy())
+        at = places(batch.column(column).to_numpy())
         np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
-    table = fixed_table(needed.select("doc_id"), fill, 2 ** (bits - 3), "u1", lambda parts: np.bitwise_or.reduce(parts))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    table = fixed_table(needed.select(column), fill, 2 ** (bits - 3), "u1", lambda parts: np.bitwise_or.reduce(parts))
+    shared = needed.sparkSession.sparkContext.broadcast(table)
+
+    def passes(ids: np.ndarray) -> np.ndarray:
+        at = places(ids)
+        return (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    return passes
+
+
+def narrowed(docs: DataFrame, needed: DataFrame, column: str = "doc_id") -> DataFrame:
+    """`docs` without most of those that `needed` doesn't hold, and never without a wanted one: a filter before any shuffle."""
+    passes = passed_by(needed, column)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = places(batch.column("doc_id").to_numpy())
-            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            yield batch.filter(pa.array(passes(batch.column(column).to_numpy())))
 
     return docs.mapInArrow(work, docs.schema)

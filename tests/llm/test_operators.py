@@ -228,6 +228,33 @@ def test_line_dedup_needs_no_luck_with_candidates(spark, monkeypatch, nearest, l
     assert got == want
 
 
+def test_line_lists_of_later_rounds_are_whole(spark, monkeypatch):
+    """Later rounds over many input partitions: no list is split between tasks, whatever Spark makes of the joins before."""
+    monkeypatch.setattr(lines, "NEAREST", 1)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{j}" for j in sorted(rng.choice(30, 14, replace=False))) + " " + " ".join(f"v{j}" for j in range(14)), "en", "a") for i in range(300)]
+    sets = [frozenset(words(t)) for _, t, *_ in rows]
+    want = {i for i in range(300) if any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(i))}
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in held:
+            spark.conf.set(k, "4k")
+        got = {r.doc_id for r in lines.remove_lines(spark.createDataFrame(rows, SCHEMA).repartition(8)).where("n_removed = 1").collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert 30 < len(want) < 300 and got == want
+
+
+def test_line_entries_are_packed():
+    """Entries travel as few bytes: those that are zero in a whole column are left out, and all come back."""
+    rng = np.random.default_rng(6)
+    columns = np.stack([rng.integers(0, 2**32, 500), rng.integers(-(2**63), 2**63 - 1, 500), np.arange(500), np.zeros(500, np.int64)])
+    block = lines.packed(columns)
+    assert (lines.unpacked(block, 4) == columns).all() and len(block) < 500 * 15
+    assert lines.unpacked(lines.packed(columns * 0), 4).shape == (4, 500)
+
+
 def test_short_lines_are_compared(spark, tmp_path):
     import corpus_pipeline
     from pliego.llm import queries

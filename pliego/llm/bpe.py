@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pliego.llm.words import slices
+from pliego.llm.words import give_back, slices
 
 def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -168,6 +168,13 @@ class Codec:
             out += map(self.memo.__getitem__, pieces[start : start + MEMO])
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Drop what was learnt from texts; the vocabulary stays."""
+        self.memo = Packed(self)
+        self.fits.clear()
+        for known in self.edges:
+            known.clear()
+
 
 class Packed(dict):
     """Packed ids of pre-tokens, taken from the memo before or made when they are first asked for."""
@@ -212,6 +219,13 @@ def codec(data: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+def forget() -> None:
+    """Drop what this worker's codecs learnt from texts: workers live on after their task, beside those of later stages."""
+    for own in _CODECS.values():
+        own.forget()
+    give_back()
+
+
 _TEXTS: dict[int, dict[int, bytes]] = {}
 
 
@@ -244,6 +258,7 @@ def _with_column(frame: DataFrame, name: str, column: str, convert) -> DataFrame
         for batch in slices(batches):
             made = convert(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(made, pa.binary())], names=["row", "text", "made"])
+        forget()
 
     made = packed.mapInArrow(work, schema)
     return made.select(*[(F.col("text") if c == column else F.col("row")[c]).alias(c) for c in rest], F.col("made").alias(name))

@@ -39,10 +39,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: workers live on after their task, beside those of later stages."""
     pa.default_memory_pool().release_unused()
     try:

@@ -54,6 +54,21 @@ def test_bpe_equals_tiktoken(spark, docs, empty):
     assert bpe.encode(empty, data, pattern).count() == 0
 
 
+def test_workers_forget_texts_after_encoding(spark, docs):
+    """Workers live on: after a task they hold their vocabulary, and no memo of its texts."""
+    data, pattern = ranks()
+    own = bpe.encode(docs.select("doc_id", "text").repartition(4), data, pattern)
+    assert sum(len(r.token_ids) for r in own.collect())
+
+    def held(batches):
+        for batch in batches:
+            found = [len(c.memo) + len(c.memo.before) + len(c.fits) for c in bpe._CODECS.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64()), pa.array([sum(found)], pa.int64())], names=["codecs", "entries"])
+
+    rows = spark.range(0, 8, 1, 8).mapInArrow(held, "codecs long, entries long").collect()
+    assert sum(r.codecs for r in rows) and not sum(r.entries for r in rows)
+
+
 def test_counts_follow_edits(spark, docs):
     tiktoken = pytest.importorskip("tiktoken")
     data, pattern = ranks()

@@ -11,6 +11,15 @@ def money(amount: Column) -> Column:
     return F.round(amount.cast("decimal(18,4)"), 2).cast("decimal(18,2)")
 
 
+def rounded_even(x: Column, places: int) -> Column:
+    """A double rounded to so many decimals, halves to even, where the double times its power of ten is what counts (as DuckDB has it).
+
+    Spark's `bround` goes by the shortest decimals instead: for 255.45000000000002, 2554.5 tenths, it has 255.5 and this 255.4.
+    """
+    power = 10.0**places
+    return F.when(F.abs(x * power) < float("inf"), F.rint(x * power) / power).otherwise(x)
+
+
 def tranche(percent: Column, tranches: list[tuple[float, float, bool, float]]) -> Column:
     """Points of the tranche (low, high, whether high belongs to it, points) that holds a percentage; null if none does."""
     out = F.lit(None).cast("double")

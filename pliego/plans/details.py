@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pliego.functions import names, text
-from pliego.operators import ranking, resolution
+from pliego.operators import ranking, resolution, scoring
 from pliego.plans.base import query
 from pliego.plans.features import NAMED, _listed, _named, _pick
 
@@ -110,7 +110,7 @@ def picks_and_excerpts(t):
     k = F.col("s_suppkey")
     picked = text.first_filled(F.when(k % 3 == 0, F.col("s_name")), F.when(k % 5 == 0, "alias"), F.lit(" "), F.lit("-"))
     half = F.round(F.col("s_acctbal").cast("decimal(12,2)"), 1).cast("double")
-    return t("supplier").select("s_suppkey", picked.alias("picked"), text.excerpt(F.col("s_name"), 12).alias("excerpt"), F.bround(F.col("s_acctbal") / 7, 1).alias("rounded"), half.alias("half_up"))
+    return t("supplier").select("s_suppkey", picked.alias("picked"), text.excerpt(F.col("s_name"), 12).alias("excerpt"), scoring.rounded_even(F.col("s_acctbal") / 7, 1).alias("rounded"), half.alias("half_up"))
 
 
 @query("""select o_custkey, count(*) n, count(*) filter (where o_orderstatus = 'F') cumple, count(*) filter (where o_orderstatus = 'O') no_cumple, count(distinct o_orderpriority) alerts, sum(o_totalprice::decimal(18,2)) total,

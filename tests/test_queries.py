@@ -32,6 +32,24 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(map(str, (tuple(r[c] for c in columns) for r in out.collect()))) == sorted(map(str, found.fetchall()))
 
 
+def test_picks_of_balances_near_halves(spark, tmp_path):
+    """Sevenths of these lie beside a half, and their tenths on it (what `bround` gets wrong)."""
+    balances = [-1788.85, -1788.15, -1781.85, 1781.15, 1774.85, -0.28, 0.35, 1.05, 4703.96, None]
+    rows = [(k, f"Supplier#{k:09}", k, b) for k, b in enumerate(balances)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    want = con.execute(catalogue.ORACLE_SQL["picks_and_excerpts"]).fetchall()
+    got = catalogue.QUERIES["picks_and_excerpts"](spark, str(tmp_path)).select("s_suppkey", "picked", "excerpt", "rounded", "half_up").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_rounding_to_even(spark):
+    rows = [(255.45000000000002, 255.4), (255.54999999999998, 255.6), (0.25, 0.2), (-0.35, -0.4), (1e308, 1e308), (float("-inf"), float("-inf")), (None, None)]
+    got = spark.createDataFrame(rows, "x double, want double").select(scoring.rounded_even(F.col("x"), 1).alias("x"), "want").collect()
+    assert all(r.x == r.want for r in got)
+
+
 def test_inclusive_days(spark):
     pairs = [("2016-06-10", "2017-05-15", 340), ("2019-05-01", "2019-10-31", 184), ("2023-11-22", "2025-07-22", 609), ("2021-05-13", "2023-05-06", 724), ("2020-01-01", "2020-01-01", 1), ("2020-01-02", "2020-01-01", None)]
     got = spark.createDataFrame([(D(a), D(b), n) for a, b, n in pairs], "a date, b date, n int").select(dates.inclusive_days(F.col("a"), F.col("b")).alias("x"), "n")

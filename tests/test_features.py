@@ -1,7 +1,12 @@
 """Features of names, verdicts on identity and recalculated figures, by values that are known."""
 
 import datetime as dt
+import math
+import random
+import re
+import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +138,38 @@ def test_search(spark):
         values(spark, ["x"], search.valid_query(F.col("x"), 5))
 
 
+def test_search_cleans_each_text_once(spark):
+    """Before pairs are made, so the score gets plain columns; filters are normed there, too, and a blank one has no effect."""
+    catalogue = spark.createDataFrame([(i, None if i == 3 else str(i), f"Posta Médica (Río {i % 5}), n.º {i}", [None, "Áncash", "Lima"][i % 3]) for i in range(60)], "id long, code string, name string, place string")
+    asked = spark.createDataFrame([(1, "POSTA río 3", "ancash"), (2, "posta medica RIO 4", " "), (3, "Posta río 1", None), (4, "posta", "日本")], "q long, text string, place string")
+    given = []
+    score = lambda a, b: given.append(f"{a} {b}") or similarity.token_set_of(a, b)
+    got = sorted((r.q, r.rank_, r.id, r.score) for r in search.search(asked, catalogue, "q", "id", "code", ["place"], 3, score).collect())
+    rows = {r.id: r for r in catalogue.collect()}
+    plain = lambda s: " ".join(re.findall("[A-Z0-9]+", unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().upper()))
+    want = []
+    for r in asked.collect():
+        rated = [(similarity.token_set_ratio(plain(r.text), plain(c.name)), c) for c in rows.values()]
+        best = sorted((x for x in rated if x[0] >= 60), key=lambda x: (-x[0], x[1].code or "~", x[1].id))[:50]
+        held = [x for x in best if plain(r.place or "") in plain(x[1].place or "")][:3]
+        want += [(r.q, i, c.id, round(s, 1)) for i, (s, c) in enumerate(held, 1)]
+    assert len(want) > 8 and [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=0.051)
+    assert not [g for g in given if "(" in g.replace("Column<", "")]
+
+
+def test_ratios_of_batches_equal_single_ones():
+    rng = random.Random(11)
+    odd = [None, "", " ", "a", " a  b ", "a\tb", "a\x1fb c", "é b", "b é", "a" * 64, "a" * 65, "b" + "a" * 64, "x " * 40, "ab " * 30 + "c" * 70, "c" * 90 + " d", "-_ ~!"]
+    words = lambda: " ".join("".join(rng.choices("AB01", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 12)))
+    texts = odd + [words() for _ in range(60)]
+    pairs = [(a, b) for a in texts for b in texts]
+    want = [None if None in p else similarity.token_set_ratio(*p) for p in pairs]
+    for part in (pairs, pairs[:1], pairs[:0], pairs[20:29]):
+        got = similarity.token_set_ratios(*(pd.Series([p[i] for p in part], dtype=object) for i in (0, 1)))
+        assert [None if math.isnan(x) else x for x in got] == want[pairs.index(part[0]) :][: len(part)] if part else len(got) == 0
+
+
 def test_siblings_and_levels(spark):
     rows = spark.createDataFrame([(1, "f", None, "a"), (2, "f", 20, "a"), (3, "f", 30, "a"), (4, "g", None, "a"), (5, "f", None, "b")], "id long, folio string, code int, issuer string")
     got = {r.id: (r.code, r.source) for r in resolution.inherit(rows, "id", "folio", "code", lambda a, b: a["issuer"] == b["issuer"]).collect()}
